@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from tradewinds.llm import hostrules, mixing
+from tradewinds.llm import hostrules, langid, mixing, quality, toxicity
 from tradewinds.llm._io import configure, table
 
 
-def _over(name, operator):
+def _over(*names, operator):
     def query(spark, sf_dir):
         configure(spark)
-        return operator(table(spark, sf_dir, name))
+        return operator(*(table(spark, sf_dir, n) for n in names))
 
     return query
 
 
 QUERIES = {
-    "op5_mix_sources": _over("documents", mixing.report),
-    "op8_host_rules": _over("documents", hostrules.report),
+    "op4_quality_pu": _over("documents", "labels", operator=quality.report),
+    "op5_mix_sources": _over("documents", operator=mixing.report),
+    "op7_toxicity_mil": _over("documents", "labels", operator=toxicity.report),
+    "op8_host_rules": _over("documents", operator=hostrules.report),
+    "op9_language_ftrl": _over("documents", operator=langid.report),
 }
 
 ORACLE = {
