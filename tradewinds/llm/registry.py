@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewinds.llm import hostrules, langid, mixing, quality, toxicity
+from tradewinds.llm import hostrules, langid, mixing, packing, quality, tokencount, toxicity
 from tradewinds.llm._io import configure, table
 
 
@@ -17,9 +17,11 @@ def _over(*names, operator):
 QUERIES = {
     "op4_quality_pu": _over("documents", "labels", operator=quality.report),
     "op5_mix_sources": _over("documents", operator=mixing.report),
+    "op6_token_counts": _over("documents", operator=tokencount.report),
     "op7_toxicity_mil": _over("documents", "labels", operator=toxicity.report),
     "op8_host_rules": _over("documents", operator=hostrules.report),
     "op9_language_ftrl": _over("documents", operator=langid.report),
+    "op10_vector_packing": _over("documents", operator=packing.report),
 }
 
 ORACLE = {
