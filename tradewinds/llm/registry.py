@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from tradewinds.llm import hostrules, langid, mixing, packing, quality, tokencount, toxicity
-from tradewinds.llm._io import configure, table
+from tradewinds.llm import hostrules, langid, mixing, packing, quality, tokencount, topk, toxicity
+from tradewinds.llm._io import ARROW_ROWS, configure, table
 
 
-def _over(*names, operator):
+def _over(*names, operator, rows=ARROW_ROWS):
     def query(spark, sf_dir):
-        configure(spark)
+        configure(spark, rows)
         return operator(*(table(spark, sf_dir, n) for n in names))
 
     return query
 
 
 QUERIES = {
+    "op3_pivot_topk": _over("embeddings", operator=topk.top_k, rows=8),
     "op4_quality_pu": _over("documents", "labels", operator=quality.report),
     "op5_mix_sources": _over("documents", operator=mixing.report),
     "op6_token_counts": _over("documents", operator=tokencount.report),
@@ -25,6 +26,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op3_pivot_topk": topk.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op8_host_rules": hostrules.ORACLE,
 }
