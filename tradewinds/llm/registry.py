@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tradewinds.llm import hostrules, langid, mixing, ngram_join, packing, quality, tokencount, topk, toxicity
+from tradewinds.llm import hostrules, langid, mixing, ngram_join, packing, pii, quality, tokencount, topk, toxicity
 from tradewinds.llm._io import ARROW_ROWS, configure, table
 
 
@@ -16,6 +16,7 @@ def _over(*names, operator, rows=ARROW_ROWS):
 
 QUERIES = {
     "op1_ngram_jaccard": _over("documents", operator=ngram_join.report),
+    "op2_pii_votes": _over("documents", operator=pii.report),
     "op3_pivot_topk": _over("embeddings", operator=topk.top_k, rows=8),
     "op4_quality_pu": _over("documents", "labels", operator=quality.report),
     "op5_mix_sources": _over("documents", operator=mixing.report),
