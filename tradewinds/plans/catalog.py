@@ -1,4 +1,8 @@
 """Registered queries with their SQL twins."""
 
-QUERIES = {}
-ORACLE = {}
+from tradewinds.plans import eda
+
+QUERIES, ORACLE = {}, {}
+for _part in (eda,):
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE
