@@ -1,8 +1,8 @@
 """Registered queries with their SQL twins."""
 
-from tradewinds.plans import eda
+from tradewinds.plans import eda, forecasts, graphs
 
 QUERIES, ORACLE = {}, {}
-for _part in (eda,):
+for _part in (eda, forecasts, graphs):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
