@@ -11,7 +11,7 @@ import xxhash
 #: A word: a run of characters other than space and \x09-\x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Entries of a worker's word cache; it is emptied when full, so memory stays bounded.
+#: Entries of each half of a worker's cache, which bound its memory.
 CACHE = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -19,16 +19,20 @@ _MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Cache(dict):
-    """A dictionary that computes what it lacks with `make` and forgets everything at `CACHE` entries."""
+    """A dictionary that computes what it lacks with `make`. At `CACHE` entries they become the older half, whose entries come back when asked for and go at the next turn."""
 
     def __init__(self, make: Callable):
         super().__init__()
-        self.make = make
+        self.make, self.old = make, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= CACHE:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 

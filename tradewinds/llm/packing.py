@@ -32,13 +32,22 @@ class Capacity:
 class Ids:
     """Token ids of a text as little-endian 4-byte values.
 
-    For a tokenizer that drops white space, which no token spans: the parts between blanks and line ends are encoded one by one and kept.
+    For a tokenizer that drops white space, which no token spans, ignores case, and never joins letters and other characters: the parts between blanks and line
+    ends are encoded one by one and kept; a mark behind letters and the case of ASCII letters are taken off first.
     """
 
     def __init__(self, path: str):
         self.tok = tokenizer(path, plain=False)
-        self.cache = Cache(lambda w: np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
-        self.cache[""] = b""
+        self.cache = Cache(self._part)
+
+    def _part(self, w: str) -> bytes:
+        if not w:
+            return b""
+        if w[-1] in ".,!?;:" and w[:-1].isalpha():
+            return self.cache[w[:-1]] + self.cache[w[-1]]
+        if w.isascii() and w.isalpha() and not w.islower():
+            return self.cache[w.lower()]
+        return np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
