@@ -1,8 +1,8 @@
 """Registered queries with their SQL twins."""
 
-from tradewinds.plans import eda, forecasts, graphs
+from tradewinds.plans import eda, forecasts, graphs, studies
 
 QUERIES, ORACLE = {}, {}
-for _part in (eda, forecasts, graphs):
+for _part in (eda, forecasts, graphs, studies):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
