@@ -1,8 +1,8 @@
 """Registered queries with their SQL twins."""
 
-from tradewinds.plans import eda, forecasts, graphs, studies
+from tradewinds.plans import eda, forecasts, graphs, inputs, learned, studies
 
 QUERIES, ORACLE = {}, {}
-for _part in (eda, forecasts, graphs, studies):
+for _part in (inputs, eda, forecasts, graphs, studies, learned):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
