@@ -230,7 +230,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda x: x["base"])
     out = find_pii(docs).select("doc_id", "spans", base.alias("base"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
+    of = lambda k: F.filter("base", lambda x: x["kind"] == k)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
     return out.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
