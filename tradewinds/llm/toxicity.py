@@ -47,6 +47,8 @@ def _counts(batches):
 def choose(sample: DataFrame) -> list[int]:
     """The MOST_FEATURES features with the largest one-sided chi-square of their documents against the label."""
     totals = sample.agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.count("*").alias("n")).first()
+    if not totals["p"]:
+        return []
     counts = sample.select("label", "text").mapInArrow(_counts, "at long, n0 int, n1 int").groupBy("at").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     n = F.col("n0") + F.col("n1")
     expected = n * (totals["p"] / totals["n"])
