@@ -60,36 +60,41 @@ def training(frame: DataFrame, t0: int, h: int, population: str = "regular") ->
     return frame.where((F.col("i") >= FIRST_ORIGIN) & (F.col("i") <= t0 - h) & F.col(population) & F.col("target").isNotNull())
 
 
-def _filled(frame: DataFrame, columns: list[str]) -> DataFrame:
-    return frame.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(-99.0)) for c in columns if c != "log_mean_3"})
+def _filled(frame: DataFrame, columns: list[str], sentinel: float = -99.0) -> DataFrame:
+    return frame.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(sentinel)) for c in columns if c != "log_mean_3"})
+
+
+def _sentinel(cfg: Config) -> float:
+    """Trees cut a far value off; linear models take the middle."""
+    return 0.0 if cfg.loss in ("tweedie", "huber") else -99.0
 
 
 def fit(rows: DataFrame, cfg: Config) -> PipelineModel:
-    data = _filled(rows.withColumns({"_y": encode(cfg.encoding if cfg.loss != "tweedie" else "raw"), "_w": weight(cfg.weight)}), NUMERIC)
+    data = _filled(rows.withColumns({"_y": encode(cfg.encoding if cfg.loss != "tweedie" else "raw"), "_w": weight(cfg.weight)}), NUMERIC, _sentinel(cfg))
     kw = {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p", "weightCol": "_w"}
     if cfg.loss == "tweedie":
         data = data.withColumn("_o", F.col("log_mean_3"))
         model = GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, offsetCol="_o", regParam=0.1, maxIter=20, **kw)
     elif cfg.loss == "huber":
-        model = LinearRegression(loss="huber", solver="l-bfgs", maxIter=50, **kw)
+        model = LinearRegression(loss="huber", solver="l-bfgs", maxIter=15, regParam=0.01, **kw)
     else:
         model = GBTRegressor(lossType=cfg.loss, maxIter=cfg.trees, maxDepth=cfg.depth, stepSize=cfg.step, subsamplingRate=cfg.subsample, seed=cfg.seed, **kw)
     return Pipeline(stages=[VectorAssembler(inputCols=NUMERIC, outputCol="_x"), model]).fit(data)
 
 
 def predict(model: PipelineModel, rows: DataFrame, cfg: Config) -> DataFrame:
-    data = _filled(rows.withColumn("_o", F.col("log_mean_3")), NUMERIC)
+    data = _filled(rows.withColumn("_o", F.col("log_mean_3")), NUMERIC, _sentinel(cfg))
     p = decode(cfg.encoding, F.col("_p")) if cfg.loss != "tweedie" else F.greatest(F.lit(0.0), F.col("_p"))
     return model.transform(data).select("product", "partner", "t", "i", F.col("target").alias("y"), p.alias("model"))
 
 
-def walk_forward(frame: DataFrame, h: int, origins: list[int], cfg: Config = Config(), retrain: bool = True) -> DataFrame:
+def walk_forward(frame: DataFrame, h: int, origins: list[int], cfg: Config = Config(), retrain: bool = True, population: str = "regular") -> DataFrame:
     """Forecasts at each origin by a model of what is known there, or by the first origin's model throughout."""
     out, model = None, None
     for t0 in origins:
         if model is None or retrain:
-            model = fit(training(frame, t0, h), cfg)
-        part = predict(model, frame.where((F.col("i") == t0) & F.col("regular")), cfg)
+            model = fit(training(frame, t0, h, population), cfg)
+        part = predict(model, frame.where((F.col("i") == t0) & F.col(population)), cfg)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -100,9 +105,9 @@ def activity_walk_forward(frame: DataFrame, origins: list[int], columns: list[st
     out = None
     for t0 in origins:
         rows = _filled(training(frame, t0, 1, "intermittent").withColumn("_y", (F.col("target") > 0).cast("double")), columns)
-        stages = [VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=5, stepSize=0.1, seed=42, probabilityCol="_q", rawPredictionCol="_r", predictionCol="_p")]
+        stages = [VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=5, stepSize=0.1, seed=42]
         now = _filled(frame.where((F.col("i") == t0) & F.col("intermittent") & F.col("target").isNotNull()), columns)
-        part = Pipeline(stages=stages).fit(rows).transform(now).select("product", "partner", "t", (F.col("target") > 0).cast("int").alias("y"), vector_to_array("_q")[1].alias("p"))
+        part = Pipeline(stages=stages).fit(rows).transform(now).select("product", "partner", "t", (F.col("target") > 0).cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -116,8 +121,8 @@ def out_of_fold(rows: DataFrame, columns: list[str], y: str, group: str, folds:
         if not train.where("_y = 1").limit(1).count() or not train.where("_y = 0").limit(1).count():
             part = test.select(*rows.columns, F.lit(0.5).alias("p"))
         else:
-            stages = [VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=10, maxDepth=3, seed=42, probabilityCol="_q", rawPredictionCol="_r", predictionCol="_p")]
-            part = Pipeline(stages=stages).fit(train).transform(test).select(*rows.columns, vector_to_array("_q")[1].alias("p"))
+            stages = [VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=10, maxDepth=3, seed=42]
+            part = Pipeline(stages=stages).fit(train).transform(test).select(*rows.columns, vector_to_array("probability")[1].alias("p"))
         out = part if out is None else out.unionByName(part)
     return out
 

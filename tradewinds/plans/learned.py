@@ -16,7 +16,7 @@ ORIGINS = [66, 67]
 
 def _scored(s, d, cfg, retrain=True):
     x = frame(s, d).cache()
-    pred = L.walk_forward(x, 1, ORIGINS, cfg, retrain)
+    pred = L.walk_forward(x, 1, ORIGINS, cfg, retrain, "intermittent")
     return pred.join(base(s, d).select("product", "partner", "t", "naive", "mean_3"), ["product", "partner", "t"])
 
 
@@ -33,7 +33,7 @@ def _activity(s, d, graph):
 
 
 def _splits(s, d):
-    x = L.training(frame(s, d), 78, 1)
+    x = L.training(frame(s, d), 78, 1, "intermittent")
     return L.fit_evaluate(S.chrono_split(x, "t", [0.5, 0.2, 0.3]), "part", L.Config(trees=20, depth=3), 15)
 
 
