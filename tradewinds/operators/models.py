@@ -23,6 +23,8 @@ NUMERIC = [
     "lag_0", "lag_1", "lag_2", "lag_seasonal", "lag_12", "mean_log_3", "mean_log_6", "mean_log_12", "log_mean_3", "log_mean_12", "rel_lag_0", "rel_lag_seasonal", "rel_log_mean_12",
     "sd_log_12", "active_12", "since_active", "seasonal_gap", "growth_3m", "price_gap", "log_n_decl", "log_n_firms_3", "chapter_growth", "chapter_momentum", "target_month",
 ]
+#: The linear log-link model takes few columns: its weighted least squares diverge on the collinear logs, which its offset carries already.
+TWEEDIE = ["active_12", "since_active", "sd_log_12", "target_month"]
 ACTIVITY = [*NUMERIC, "active_3", "active_6", "on", "on_1", "on_2", "on_seasonal"]
 
 
@@ -74,12 +76,12 @@ def fit(rows: DataFrame, cfg: Config) -> PipelineModel:
     kw = {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p", "weightCol": "_w"}
     if cfg.loss == "tweedie":
         data = data.withColumn("_o", F.col("log_mean_3"))
-        model = GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, offsetCol="_o", regParam=0.1, maxIter=20, **kw)
+        model = GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, offsetCol="_o", regParam=1.0, maxIter=10, **kw)
     elif cfg.loss == "huber":
         model = LinearRegression(loss="huber", solver="l-bfgs", maxIter=15, regParam=0.01, **kw)
     else:
         model = GBTRegressor(lossType=cfg.loss, maxIter=cfg.trees, maxDepth=cfg.depth, stepSize=cfg.step, subsamplingRate=cfg.subsample, seed=cfg.seed, **kw)
-    return Pipeline(stages=[VectorAssembler(inputCols=NUMERIC, outputCol="_x"), model]).fit(data)
+    return Pipeline(stages=[VectorAssembler(inputCols=TWEEDIE if cfg.loss == "tweedie" else NUMERIC, outputCol="_x"), model]).fit(data)
 
 
 def predict(model: PipelineModel, rows: DataFrame, cfg: Config) -> DataFrame:
@@ -105,7 +107,7 @@ def activity_walk_forward(frame: DataFrame, origins: list[int], columns: list[st
     out = None
     for t0 in origins:
         rows = _filled(training(frame, t0, 1, "intermittent").withColumn("_y", (F.col("target") > 0).cast("double")), columns)
-        stages = [VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=5, stepSize=0.1, seed=42]
+        stages = [VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=trees, maxDepth=5, stepSize=0.1, seed=42)]
         now = _filled(frame.where((F.col("i") == t0) & F.col("intermittent") & F.col("target").isNotNull()), columns)
         part = Pipeline(stages=stages).fit(rows).transform(now).select("product", "partner", "t", (F.col("target") > 0).cast("int").alias("y"), vector_to_array("probability")[1].alias("p"))
         out = part if out is None else out.unionByName(part)
@@ -121,7 +123,7 @@ def out_of_fold(rows: DataFrame, columns: list[str], y: str, group: str, folds:
         if not train.where("_y = 1").limit(1).count() or not train.where("_y = 0").limit(1).count():
             part = test.select(*rows.columns, F.lit(0.5).alias("p"))
         else:
-            stages = [VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=10, maxDepth=3, seed=42]
+            stages = [VectorAssembler(inputCols=columns, outputCol="_x"), GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=10, maxDepth=3, seed=42)]
             part = Pipeline(stages=stages).fit(train).transform(test).select(*rows.columns, vector_to_array("probability")[1].alias("p"))
         out = part if out is None else out.unionByName(part)
     return out

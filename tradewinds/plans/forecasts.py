@@ -118,7 +118,7 @@ ORACLE["met02_classification"] = f"""with {_CURVE} select (select round(sum(pos
 QUERIES["met03_precision_recall"] = lambda s, d: M.precision_recall(activity(s, d), "y", "p")
 ORACLE["met03_precision_recall"] = f"with {_CURVE} select round(p, 6) as threshold, round(tp / k, 6) as precision, round(tp / pp, 6) as recall from cv"
 QUERIES["met05_thresholds"] = lambda s, d: M.threshold_table(activity(s, d), "y", "p", [0.2, 0.4, 0.6])
-ORACLE["met05_thresholds"] = f"with {_ACT} select x::double as threshold, round(100 * avg((p >= x)::int::double), 6) as flagged, round(sum(y) filter (p >= x) / nullif(count(*) filter (p >= x), 0), 6) as precision, round(sum(y) filter (p >= x) / sum(y), 6) as recall from act, (values (0.2::double), (0.4::double), (0.6::double)) l(x) group by x"
+ORACLE["met05_thresholds"] = f"with {_ACT} select x::double as threshold, round(100 * avg((p >= x)::int::double), 6) as flagged, round(sum(y) filter (p >= x) / nullif(count(*) filter (p >= x), 0), 6) as precision, round(coalesce(sum(y) filter (p >= x), 0) / nullif(sum(y), 0), 6) as recall from act, (values (0.2::double), (0.4::double), (0.6::double)) l(x) group by x"
 QUERIES["met04_calibration"] = lambda s, d: M.calibration(activity(s, d), "y", "p", 4)
 ORACLE["met04_calibration"] = f"with {_ACT}, e as (select quantile_cont(p, [0.25, 0.5, 0.75]) as e from act) select len(list_filter(e, lambda x: x < p))::int as bin, count(*) as n, round(avg(p), 6) as mean_p, round(avg(y), 6) as mean_y from act, e group by 1"
 QUERIES["met06_precision_at"] = lambda s, d: M.precision_at(activity(s, d), "y", "p", ["product", "partner", "t"], [100, 500, 1000])

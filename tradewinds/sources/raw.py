@@ -54,14 +54,14 @@ def extract(archive: str, to: str) -> str:
 
 
 def _repair_run(lines: list[str], n: int) -> list[tuple[str, str]]:
-    """Left to right: a short line and the next whose fields sum to n are one line, put together as they are; other short lines are filled up."""
+    """Left to right: a short line that has n fields with the next one at its end is one line with it; other short lines are filled up."""
     out, k = [], 0
     count = lambda s: s.count(";") + 1
     while k < len(lines):
         have = count(lines[k])
         if have >= n:
             out.append((lines[k], "long" if have > n else "ok"))
-        elif k + 1 < len(lines) and have + count(lines[k + 1]) == n:
+        elif k + 1 < len(lines) and count(lines[k] + lines[k + 1]) == n:
             out.append((lines[k] + lines[k + 1], "joined"))
             k += 1
         else:
@@ -174,7 +174,14 @@ class _Tables(HTMLParser):
         self.before, self.cell = "", None
         self.open = 0
 
+    def _close(self):
+        if self.cell is not None:
+            self.tables[-1][1][-1].append(re.sub(r"\s+", " ", self.cell).strip())
+            self.cell = None
+
     def handle_starttag(self, tag, attrs):
+        if tag in ("table", "tr", "td", "th"):
+            self._close()  # end tags of cells may be left out
         if tag == "table":
             self.open += 1
             self.tables.append((re.sub(r"\s+", " ", self.before)[-200:].strip(), []))
@@ -184,12 +191,11 @@ class _Tables(HTMLParser):
             self.cell = ""
 
     def handle_endtag(self, tag):
+        if tag in ("table", "tr", "td", "th"):
+            self._close()
         if tag == "table" and self.open:
             self.open -= 1
             self.before = ""
-        elif tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][1][-1].append(re.sub(r"\s+", " ", self.cell).strip())
-            self.cell = None
 
     def handle_data(self, data):
         if self.cell is not None:
