@@ -55,15 +55,25 @@ class Ids:
         return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+_ids: dict[str, Ids] = {}
+
+
+def ids_of(path: str) -> Ids:
+    """One for each worker, whose cache lasts over its tasks."""
+    if path not in _ids:
+        _ids[path] = Ids(path)
+    return _ids[path]
+
+
 def pieces(docs: DataFrame, path: str, tokens: int) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and a closing 0, cut every `tokens` ids."""
 
     def cut(batches):
-        ids_of = Ids(path)
+        encode = ids_of(path)
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw = ids_of(text) + b"\0\0\0\0"
+                raw = encode(text) + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(raw), 4 * tokens)):
                     part = raw[at : at + 4 * tokens]
                     for col, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):
