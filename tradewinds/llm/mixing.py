@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tradewinds.llm._io import materialise
 from tradewinds.llm._text import WORD
 
 #: Strata of a source's documents: octaves of the size cut in STEPS, each dealt out to SALTS parts by the id.
@@ -47,7 +48,7 @@ def offset(source: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 5), 16, 10).cast("double") / 1048576
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix", carry: list[str] | None = None) -> DataFrame:
     """Each document with the number of copies that the mix takes of it.
 
     A document's expected copies are its source's target over its source's size. Documents of a source stand in order of size octave,
@@ -57,20 +58,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     The prefix of a row is ratio * (rows of the source before it), so only counts of (source, octave, part) are summed and ranks are taken
     within a part: no source, however hot, meets in one task.
 
-    Returns struct `row` (all columns of `docs`), size, source_size, target, copies (long). Rows with null text or source take part (size 0; a
+    The counts are written once and read for the targets and the prefixes. `row` holds the columns `carry` names beside doc_id and source, all by default.
+
+    Returns struct `row` (columns of `docs`), size, source_size, target, copies (long). Rows with null text or source take part (size 0; a
     source of its own, last); equal rows are each counted; rows with null ids stand in one part; an empty table gives an empty one.
     """
     id_ = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0))
     part = F.pmod(F.pmod(id_, F.lit(1000003)) * 7919, F.lit(SALTS))
-    sized = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).select("row", n_words(F.col("row.text")).alias("size"))
-    sized = sized.select("row", "size", F.col("row.source").alias("source"), F.floor(F.log2(F.col("size") + 1) * STEPS).cast("int").alias("octave"), part.cast("int").alias("part"))
-    counts = sized.groupBy("source", "octave", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    kept = docs.columns if carry is None else ["doc_id", "source", *carry]
+    sized = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"), n_words(docs["text"]).alias("size"), F.xxhash64(docs["text"]).alias("text_hash"))
+    sized = sized.select("row", "size", "text_hash", F.col("row.source").alias("source"), F.floor(F.log2(F.col("size") + 1) * STEPS).cast("int").alias("octave"), part.cast("int").alias("part"))
+    counts = materialise(sized.groupBy("source", "octave", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("octave", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     keyed = counts.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select(
         F.col("c.source").alias("_s"), F.col("c.octave").alias("_o"), F.col("c.part").alias("_p"), "before", "source_size", "target",
     )
-    rank = F.row_number().over(W.partitionBy("source", "octave", "part").orderBy("row.doc_id", "size", F.xxhash64("row.text")))
+    rank = F.row_number().over(W.partitionBy("source", "octave", "part").orderBy("row.doc_id", "size", "text_hash"))
     placed = sized.withColumn("rank", rank).join(keyed, F.expr("source <=> _s and octave = _o and part = _p"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     at = lambda k: F.floor(offset(F.col("source"), seed) + ratio * (F.col("before") + F.col("rank") + k))
@@ -85,7 +89,7 @@ def mixed_rows(docs: DataFrame, **params) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return mix(docs).select(
+    return mix(docs, carry=[]).select(
         F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), F.col("row.source").alias("source"), "copies",
     )
 
