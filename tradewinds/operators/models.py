@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, LinearRegression
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ NUMERIC = [
     "lag_0", "lag_1", "lag_2", "lag_seasonal", "lag_12", "mean_log_3", "mean_log_6", "mean_log_12", "log_mean_3", "log_mean_12", "rel_lag_0", "rel_lag_seasonal", "rel_log_mean_12",
     "sd_log_12", "active_12", "since_active", "seasonal_gap", "growth_3m", "price_gap", "log_n_decl", "log_n_firms_3", "chapter_growth", "chapter_momentum", "target_month",
 ]
-#: The linear log-link model takes few columns: its weighted least squares diverge on the collinear logs, which its offset carries already.
-TWEEDIE = ["active_12", "since_active", "sd_log_12", "target_month"]
+#: Columns of the Tweedie model, whose offset carries the level.
+TWEEDIE = ["active_12", "since_active", "sd_log_12", "rel_lag_0", "rel_lag_seasonal"]
 ACTIVITY = [*NUMERIC, "active_3", "active_6", "on", "on_1", "on_2", "on_seasonal"]
 
 
@@ -71,20 +72,59 @@ def _sentinel(cfg: Config) -> float:
     return 0.0 if cfg.loss in ("tweedie", "huber") else -99.0
 
 
-def fit(rows: DataFrame, cfg: Config) -> PipelineModel:
-    data = _filled(rows.withColumns({"_y": encode(cfg.encoding if cfg.loss != "tweedie" else "raw"), "_w": weight(cfg.weight)}), NUMERIC, _sentinel(cfg))
-    kw = {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p", "weightCol": "_w"}
+@dataclass(frozen=True)
+class LogLinear:
+    """mean = exp(level + b0 + b x)."""
+
+    coefficients: tuple[float, ...]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_p", F.exp(F.least(F.lit(30.0), _linear(self.coefficients))))
+
+
+def _linear(b) -> Column:
+    return sum((F.lit(float(c)) * x for c, x in zip(b, _inputs())), F.col("log_mean_3"))
+
+
+def _inputs() -> list[Column]:
+    return [F.lit(1.0), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in TWEEDIE]]
+
+
+def fit_tweedie(rows: DataFrame, weight_kind: str, power: float = 1.5, steps: int = 30, ridge: float = 1e-3) -> LogLinear:
+    """Fisher scoring, each step's score and information one aggregate of the rows; steps are held to 1, since most targets are 0 and some very large."""
+    k = len(TWEEDIE) + 1
+    x = _inputs()
+    w = weight(weight_kind)
+    start = rows.agg(F.sum("target").alias("y"), F.sum(F.exp("log_mean_3")).alias("m")).first()
+    b = np.zeros(k)
+    b[0] = np.log(max(1e-9, start["y"] or 0.0) / max(1e-9, start["m"] or 0.0))
+    for _ in range(steps):
+        mu = F.exp(F.least(F.lit(30.0), _linear(b)))
+        s = w * (F.col("target") - mu) * F.pow(mu, 1 - power)
+        h = w * F.pow(mu, 2 - power)
+        got = rows.agg(*[F.sum(s * x[i]).alias(f"s{i}") for i in range(k)], *[F.sum(h * x[i] * x[j]).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        score = np.array([got[f"s{i}"] or 0.0 for i in range(k)])
+        info = np.array([[got[f"h{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+        step = np.linalg.lstsq(info + ridge * np.diag(np.diag(info) + 1e-9), score, rcond=None)[0]
+        b = b + step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-6:
+            break
+    return LogLinear(tuple(b))
+
+
+def fit(rows: DataFrame, cfg: Config) -> PipelineModel | LogLinear:
     if cfg.loss == "tweedie":
-        data = data.withColumn("_o", F.col("log_mean_3"))
-        model = GeneralizedLinearRegression(family="tweedie", variancePower=1.5, linkPower=0.0, offsetCol="_o", regParam=1.0, maxIter=10, **kw)
-    elif cfg.loss == "huber":
+        return fit_tweedie(rows.cache(), cfg.weight)
+    data = _filled(rows.withColumns({"_y": encode(cfg.encoding), "_w": weight(cfg.weight)}), NUMERIC, _sentinel(cfg))
+    kw = {"featuresCol": "_x", "labelCol": "_y", "predictionCol": "_p", "weightCol": "_w"}
+    if cfg.loss == "huber":
         model = LinearRegression(loss="huber", solver="l-bfgs", maxIter=15, regParam=0.01, **kw)
     else:
         model = GBTRegressor(lossType=cfg.loss, maxIter=cfg.trees, maxDepth=cfg.depth, stepSize=cfg.step, subsamplingRate=cfg.subsample, seed=cfg.seed, **kw)
-    return Pipeline(stages=[VectorAssembler(inputCols=TWEEDIE if cfg.loss == "tweedie" else NUMERIC, outputCol="_x"), model]).fit(data)
+    return Pipeline(stages=[VectorAssembler(inputCols=NUMERIC, outputCol="_x"), model]).fit(data)
 
 
-def predict(model: PipelineModel, rows: DataFrame, cfg: Config) -> DataFrame:
+def predict(model: PipelineModel | LogLinear, rows: DataFrame, cfg: Config) -> DataFrame:
     data = _filled(rows.withColumn("_o", F.col("log_mean_3")), NUMERIC, _sentinel(cfg))
     p = decode(cfg.encoding, F.col("_p")) if cfg.loss != "tweedie" else F.greatest(F.lit(0.0), F.col("_p"))
     return model.transform(data).select("product", "partner", "t", "i", F.col("target").alias("y"), p.alias("model"))
