@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,11 +21,11 @@ N_CLASSES = len(_CLASSES)
 _TABLE = np.zeros(256, np.uint8)
 for _i, _chars in enumerate(_CLASSES):
     _TABLE[list(_chars)] = _i
-N_FEATURES = N_CLASSES**2 + 6
+N_FEATURES = N_CLASSES**2 + 8
 
 
 def features(text: str | None) -> np.ndarray:
-    """Square roots of the shares of pairs of byte classes, and six figures of length and repetition, over the whole text."""
+    """Square roots of the shares of pairs of byte classes, and eight figures of length and repetition, over the whole text."""
     out = np.zeros(N_FEATURES, np.float32)
     raw = (text or "").encode("utf-8", "surrogatepass")
     if len(raw) > 1:
@@ -33,7 +35,8 @@ def features(text: str | None) -> np.ndarray:
     ws = raw.split()
     lines = [x for x in raw.split(b"\n") if x.strip()]
     n, m = len(ws), len(lines)
-    out[-6:] = (np.log1p(n) / 5, n < 20, len(set(ws)) / n if n else 0, (m - len(set(lines))) / m if m else 0, np.log1p(m) / 5, len(raw) / n / 10 if n else 0)
+    pairs = len(set(zip(ws, ws[1:])))
+    out[-8:] = (sum(map(eq, ws, ws[1:])) / n if n else 0, pairs / (n - 1) if n > 1 else 1, np.log1p(n) / 5, n < 20, len(set(ws)) / n if n else 0, (m - len(set(lines))) / m if m else 0, np.log1p(m) / 5, len(raw) / n / 10 if n else 0)
     return out
 
 
@@ -43,7 +46,7 @@ def _featurised(batches):
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.binary())], ["label", "x"])
 
 
-def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02, l2: float = 1e-4) -> dict:
+def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 800, rate: float = 0.1, l2: float = 1e-6) -> dict:
     """Minimise prior * R_p^+ + max(0, R_u^- - prior * R_p^-) of the logistic loss over a linear score; where the second part is negative, step against it."""
     both = np.concatenate([pos, unl])
     mean, std = both.mean(0), both.std(0) + 1e-2
