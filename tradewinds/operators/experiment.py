@@ -196,3 +196,56 @@ def opportunities(candidates: DataFrame, panel: DataFrame, n: int, year_a: str,
     v = lambda c: F.coalesce(F.sum(F.when(c, F.greatest(F.col("value"), F.lit(0.0)).cast("decimal(18,2)"))), F.lit(0)).cast("double")
     stats = rows.groupBy("product", "partner").agg(v(y == year_a).alias("value_a"), v(y == year_b).alias("value_b"), F.countDistinct(F.when(y == year_a, F.col("period"))).alias("months_a"))
     return best.join(stats, ["product", "partner"], "left").na.fill(0.0, ["value_a", "value_b"]).na.fill(0, ["months_a"])
+
+
+def power(p0: float, lift: float, n_treat: int, n_control: int, alpha: float = 0.05, comparisons: int = 1, deff: float = 1.0, r2: float = 0.0) -> float:
+    """Chance of finding a relative lift."""
+    p1 = min(p0 * (1 + lift), 1.0)
+    se = math.sqrt((p1 * (1 - p1) / n_treat + p0 * (1 - p0) / n_control) * deff * (1 - r2)) or 1e-12
+    return NORMAL.cdf((p1 - p0) / se - NORMAL.inv_cdf(1 - alpha / (2 * comparisons)))
+
+
+def arm_tests(units: DataFrame, y: str, cluster: str, control: str) -> DataFrame:
+    """Dunnett's p of each arm and the omnibus Wald statistic; one row an arm comes to the driver."""
+    a = {r["arm"]: (r["m"], r["v"]) for r in cluster_means(units, y, cluster).collect()}
+    m0, v0 = a.pop(control)
+    names = sorted(a)
+    z = [(a[n][0] - m0) / math.sqrt(a[n][1] + v0) for n in names]
+    p = dunnett(z, [v0 / (v0 + a[n][1]) for n in names])
+    wald = omnibus([m0, *(a[n][0] for n in names)], [v0, *(a[n][1] for n in names)])
+    return units.sparkSession.createDataFrame([(n, z[k], p[k], wald["chi2"], wald["df"]) for k, n in enumerate(names)], "arm string, z double, p_dunnett double, omnibus double, df int")
+
+
+def peeking(units: DataFrame, cluster: str, y: str, look: str, looks: int, seeds: int, bounds: list[float]) -> DataFrame:
+    """A/A runs looked at `looks` times: how often |z| ever passes 1.96, and how often it passes its bound. `look` says at which look a unit's outcome is there."""
+    by = units.groupBy(cluster, look).agg(F.count("*").alias("n"), F.sum(y).cast("double").alias("s"))
+    at = by.select("*", F.explode(F.sequence(look, F.lit(looks))).alias("k")).groupBy(cluster, "k").agg(F.sum("n").cast("double").alias("n"), F.sum("s").alias("s"))
+    rows = at.select("*", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed")).withColumn("arm", (uniform(cluster, "seed") < 0.5).cast("int"))
+    a = rows.groupBy("seed", "k", "arm").agg(F.count("*").alias("c"), F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("n")).alias("sn"), F.sum(F.col("n") * F.col("n")).alias("nn"))
+    m = F.col("S") / F.col("N")
+    v = F.try_divide(F.col("c"), F.col("c") - 1) * (F.col("ss") - 2 * m * F.col("sn") + m * m * F.col("nn")) / (F.col("N") * F.col("N"))
+    z = a.select("seed", "k", "arm", m.alias("m"), v.alias("v")).groupBy("seed", "k").agg(F.abs(F.try_divide(F.sum(F.when(F.col("arm") == 1, F.col("m")).otherwise(-F.col("m"))), F.sqrt(F.sum("v")))).alias("z"))
+    bound = F.element_at(F.array(*[F.lit(float(b)) for b in bounds]), F.col("k"))
+    per = z.groupBy("seed").agg(F.coalesce(F.bool_or(F.col("z") > 1.96), F.lit(False)).alias("naive"), F.coalesce(F.bool_or(F.col("z") > bound), F.lit(False)).alias("bounded"))
+    return per.agg(F.avg(F.col("naive").cast("double")).alias("naive"), F.avg(F.col("bounded").cast("double")).alias("bounded"), F.count("*").alias("runs"))
+
+
+def replications(units: DataFrame, cluster: str, id_: list[str], lift: float, seeds: int) -> DataFrame:
+    """Full runs with an injected lift (columns y, q), batched by seed: mean estimate, the mean true effect, coverage and power."""
+    p = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(lift * F.col("q"), 1 - F.col("q"))))
+    rows = units.select("*", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed")).withColumn("arm", (uniform(cluster, "seed") < 0.5).cast("int"))
+    rows = rows.withColumn("y1", F.when(F.col("y") == 1, 1.0).otherwise((uniform(*id_, "seed", F.lit(7)) < p).cast("double"))).withColumn("o", F.when(F.col("arm") == 1, F.col("y1")).otherwise(F.col("y")))
+    by = rows.groupBy("seed", "arm", cluster).agg(F.count("*").cast("double").alias("n"), F.sum("o").alias("s"), F.sum(F.col("y1") - F.col("y")).alias("gain"))
+    a = by.groupBy("seed", "arm").agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("n")).alias("sn"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum("gain").alias("gain"))
+    m = F.col("S") / F.col("N")
+    v = F.try_divide(F.col("k"), F.col("k") - 1) * (F.col("ss") - 2 * m * F.col("sn") + m * m * F.col("nn")) / (F.col("N") * F.col("N"))
+    per = a.select("seed", "arm", m.alias("m"), v.alias("v"), "gain", "N").groupBy("seed").agg(F.sum(F.when(F.col("arm") == 1, F.col("m")).otherwise(-F.col("m"))).alias("d"), F.sqrt(F.sum("v")).alias("se"), (F.sum("gain") / F.sum("N")).alias("truth"))
+    inside = F.abs(F.col("d") - F.col("truth")) <= 1.96 * F.col("se")
+    return per.agg(F.avg("d").alias("estimate"), F.avg("truth").alias("truth"), F.avg(inside.cast("double")).alias("coverage"), F.avg((F.abs("d") > 1.96 * F.col("se")).cast("double")).alias("power"), F.count("*").alias("runs"))
+
+
+def unit_costs(compared: DataFrame, cost: dict[str, float]) -> DataFrame:
+    """Cost of one more outcome by arm, with bounds where the effect's lower bound is above 0."""
+    c = F.create_map(*[F.lit(x) for kv in cost.items() for x in kv])[F.col("arm")]
+    lo, hi = F.col("effect") - 1.96 * F.col("se"), F.col("effect") + 1.96 * F.col("se")
+    return compared.select("arm", c.alias("cost"), F.when(F.col("effect") > 0, c / F.col("effect")).alias("per_outcome"), F.when(lo > 0, c / hi).alias("lo"), F.when(lo > 0, c / lo).alias("hi"))

@@ -206,3 +206,32 @@ def backbone(edges: DataFrame, quantile: float = 0.995) -> DataFrame:
     tree = edges.select("p", "q", "phi").groupBy().applyInPandas(run, "p string, q string, phi double")
     strong = edges.join(F.broadcast(cut)).where("phi >= cut").select("p", "q", "phi")
     return tree.unionByName(strong).dropDuplicates(["p", "q"])
+
+
+def community_summary(panel: DataFrame, community: DataFrame, market: str) -> DataFrame:
+    """Size, share of value, three main products, distinct chapters, the main chapter's share, the share sold to one market and the main destination of each community."""
+    rows = goods(panel).join(F.broadcast(community.select("product", "community")), "product")
+    ranked = lambda key: rows.groupBy("community", key).agg(total("value").alias("v")).withColumn("r", F.row_number().over(W.partitionBy("community").orderBy(F.desc("v"), key))).withColumn("s", F.col("v") / F.sum("v").over(W.partitionBy("community")))
+    top = ranked("product").where("r <= 3").groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "product"))), lambda x: x["product"]), ",").alias("top_products"))
+    chapters = ranked("chapter").groupBy("community").agg(F.count("*").alias("chapters"), F.max("s").alias("main_chapter_share"))
+    places = ranked("partner").groupBy("community").agg(F.max(F.when(F.col("r") == 1, F.col("partner"))).alias("main_partner"), F.coalesce(F.sum(F.when(F.col("partner") == market, F.col("s"))), F.lit(0.0)).alias("market_share"))
+    size = rows.groupBy("community").agg(F.countDistinct("product").alias("products"), total("value").alias("value")).withColumn("value_share", F.col("value") / F.sum("value").over(W.partitionBy()))
+    return size.join(top, "community").join(chapters, "community").join(places, "community")
+
+
+def coverage(panel: DataFrame, products: DataFrame) -> DataFrame:
+    """Percentage of goods value in products of the network."""
+    rows = goods(panel).join(F.broadcast(products.select("product").distinct().withColumn("_in", F.lit(True))), "product", "left")
+    return rows.agg((100 * F.try_divide(total(F.when(F.col("_in"), F.col("value"))), total("value"))).alias("coverage"))
+
+
+def stability(edges: DataFrame, resolutions: list[float], seeds: list[int]) -> DataFrame:
+    """Communities, modularity and agreement with the first run, over resolutions and seeds. The collected graph is one of products."""
+    base = communities(edges, resolutions[0], seeds[0]).cache()
+    out = None
+    for g in resolutions:
+        for s in seeds:
+            c = communities(edges, g, s)
+            row = c.agg((F.max("community") + 1).alias("communities")).crossJoin(modularity(edges, c, g)).crossJoin(partition_agreement(base, c)).select(F.lit(g).alias("resolution"), F.lit(s).alias("seed"), "communities", "modularity", "ari", "nmi")
+            out = row if out is None else out.unionByName(row)
+    return out
