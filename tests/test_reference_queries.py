@@ -184,9 +184,9 @@ def test_store_and_codes(spark, tmp_path):
     raw.write_months(df, str(tmp_path / "s"))
     raw.write_months(df.where("period = '2024-02'").withColumn("a", F.lit(9)), str(tmp_path / "s"))
     assert sorted(r.a for r in raw.load(spark, str(tmp_path / "s"), "exp", ["a"]).collect()) == [1, 9]
-    codes = spark.createDataFrame([(1, "Chile", "0056"), (2, "x", "n/a"), (3, "Other", "056"), (4, "Zero", "000"), (5, "Pseudo", "997")], "seq int, name string, code string")
+    codes = spark.createDataFrame([(1, "First", "0056"), (2, "x", "n/a"), (3, "Other", "056"), (4, "Zero", "000"), (5, "Pseudo", "997")], "seq int, name string, code string")
     got = {r.code: (r.gloss, r.pseudo) for r in raw.code_table(codes, "name", "code", 900).collect()}
-    assert got == {"56": ("Chile", False), "0": ("Zero", False), "997": ("Pseudo", True)}
+    assert got == {"56": ("First", False), "0": ("Zero", False), "997": ("Pseudo", True)}
     files = spark.createDataFrame([("a/Exportaciones_2024_03_parte2.zip",), ("a/readme.md",), ("b/importaciones-2025-11.rar",)], "path string")
     assert [(r.kind, r.year, r.month, r.part) for r in raw.list_resources(files).collect()] == [("exp", 2024, 3, 2), ("imp", 2025, 11, 1)]
     html = spark.createDataFrame([(1, "<p>Ports</p><table><tr><th>a<th>b</tr><tr><td>1</td><td> 2 </td></tr></table>"), (2, None)], "page_id long, html string")
