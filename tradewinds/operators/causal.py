@@ -110,37 +110,54 @@ def _profile(y: np.ndarray, d: np.ndarray, beta: np.ndarray, rounds: int = 500):
 def ppml(rows: DataFrame, regressors: list[str], outcome: str = "v", steps: int = 25, tolerance: float = 1e-8) -> dict:
     """Poisson pseudo-likelihood with pair and product-month effects, clustered by product.
 
-    Both effects lie within a product, so each product profiles its own block in its own task and returns a score and an information matrix; the driver
-    takes Newton steps on their sums (as many numbers as regressors squared). Clustered variance sums the outer products of the same scores, times k / (k - 1).
+    Both effects lie within a product, so each product profiles its own block in its own task and returns a score, an information matrix and the outer product of
+    its score; the driver takes Newton steps on their sums (as many numbers as regressors squared). Clustered variance sums the outer products, times k / (k - 1).
     """
     k = len(regressors)
     data = rows.select("product", "partner", "t", F.col(outcome).cast("double").alias("y"), *[F.col(r).cast("double").alias(f"x{j}") for j, r in enumerate(regressors)]).cache()
 
     def block(beta):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            y = pdf.pivot_table(index="partner", columns="t", values="y", aggfunc="sum", fill_value=0.0)
-            d = np.array([pdf.pivot_table(index="partner", columns="t", values=f"x{j}", aggfunc="max", fill_value=0.0).reindex(index=y.index, columns=y.columns, fill_value=0.0).to_numpy() for j in range(k)])
-            s, h = _profile(y.to_numpy(), d, beta)
-            return pd.DataFrame({"s": [s.tolist()], "h": [h.ravel().tolist()]})
+            y, (a, b) = _cells(pdf)
+            d = np.full((k, *y.shape), -np.inf)
+            for j in range(k):
+                np.maximum.at(d[j], (a, b), pdf[f"x{j}"].to_numpy())
+            s, h = _profile(y, np.where(np.isfinite(d), d, 0.0), beta)
+            return pd.DataFrame({"x": [[*s, *h.ravel(), *np.outer(s, s).ravel(), float((s != 0).any())]]})
 
         return run
 
     beta = np.zeros(k)
     for _ in range(steps):
-        parts = data.groupBy("product").applyInPandas(block(beta), "s array<double>, h array<double>")
-        sums = parts.select(*[F.sum(F.col("s")[j]).alias(f"s{j}") for j in range(k)], *[F.sum(F.col("h")[j]).alias(f"h{j}") for j in range(k * k)], *[F.sum(F.col("s")[i] * F.col("s")[j]).alias(f"m{i * k + j}") for i in range(k) for j in range(k)], F.count_if(F.exists("s", lambda x: x != 0)).alias("n")).first()
-        s = np.array([sums[f"s{j}"] or 0.0 for j in range(k)])
-        h = np.array([sums[f"h{j}"] or 0.0 for j in range(k * k)]).reshape(k, k)
+        sums = _sums(data.groupBy("product").applyInPandas(block(beta), "x array<double>"), k + 2 * k * k + 1)
+        s, h = sums[:k], sums[k : k + k * k].reshape(k, k)
         step = np.linalg.lstsq(h, s, rcond=None)[0]
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < tolerance:
             break
-    meat = np.array([sums[f"m{j}"] or 0.0 for j in range(k * k)]).reshape(k, k)
+    meat = sums[k + k * k : -1].reshape(k, k)
     inv = np.linalg.pinv(h)
-    n = max(2, sums["n"])
+    n = max(2, int(sums[-1]))
     v = inv @ meat @ inv * n / (n - 1)
     data.unpersist()
-    return {"beta": beta, "var": v, "clusters": int(sums["n"])}
+    return {"beta": beta, "var": v, "clusters": int(sums[-1])}
+
+
+def _cells(pdf: pd.DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """y by partner and month, and the place of each row in it."""
+    partners, a = np.unique(pdf["partner"].to_numpy(), return_inverse=True)
+    months, b = np.unique(pdf["t"].to_numpy(), return_inverse=True)
+    y = np.zeros((len(partners), len(months)))
+    np.add.at(y, (a, b), pdf["y"].to_numpy())
+    return y, (a, b)
+
+
+def _sums(parts: DataFrame, n: int) -> np.ndarray:
+    """Sums of the places of arrays x of n numbers: rows of a place, so that many regressors are not many columns."""
+    out = np.zeros(n)
+    for r in parts.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.sum("v").alias("v")).collect():
+        out[r["j"]] = r["v"]
+    return out
 
 
 def effect(beta: float) -> float:
@@ -154,8 +171,15 @@ def did(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.createDataFrame([(b, se, effect(b), effect(b - 1.96 * se), effect(b + 1.96 * se), p, 2.8 * se, f["clusters"])], "beta double, se double, effect double, lo double, hi double, p double, mde double, clusters long")
 
 
+def joint_wald(beta: np.ndarray, var: np.ndarray) -> tuple[float, int]:
+    """Wald statistic that all of `beta` are 0, and its degrees of freedom: the rank of `var`, which is below the number of clusters."""
+    values, vectors = np.linalg.eigh((var + var.T) / 2)
+    keep = values > 1e-9 * max(float(values.max()), 1e-300)
+    return float(((vectors[:, keep].T @ beta) ** 2 / values[keep]).sum()), int(keep.sum())
+
+
 def event_study(rows: DataFrame, reference: int = -1) -> DataFrame:
-    """One coefficient a month against the reference month (0 there), and the joint Wald statistic of the months before.
+    """One coefficient a month against the reference month (0 there), and the joint Wald statistic of the months before with its degrees of freedom.
 
     Months without treated trade have no finite coefficient and are left out with their rows of treated pairs.
     """
@@ -165,9 +189,9 @@ def event_study(rows: DataFrame, reference: int = -1) -> DataFrame:
     wide = rows.withColumns({f"m{j}": taxed & (F.col("rel") == m) for j, m in enumerate(months)})
     f = ppml(wide, [f"m{j}" for j in range(len(months))])
     pre = [j for j, m in enumerate(months) if m < reference]
-    wald = float(f["beta"][pre] @ np.linalg.pinv(f["var"][np.ix_(pre, pre)]) @ f["beta"][pre]) if pre else None
-    out = [(int(m), float(f["beta"][j]), float(np.sqrt(max(0.0, f["var"][j, j]))), wald) for j, m in enumerate(months)] + [(reference, 0.0, 0.0, wald)]
-    return rows.sparkSession.createDataFrame(out, "rel int, beta double, se double, wald_pre double")
+    wald, df = joint_wald(f["beta"][pre], f["var"][np.ix_(pre, pre)]) if pre else (None, 0)
+    out = [(int(m), float(f["beta"][j]), float(np.sqrt(max(0.0, f["var"][j, j]))), wald, df) for j, m in enumerate(months)] + [(reference, 0.0, 0.0, wald, df)]
+    return rows.sparkSession.createDataFrame(out, "rel int, beta double, se double, wald_pre double, df_pre int")
 
 
 def placebos(rows: DataFrame, treated: str, n: int = 30) -> DataFrame:
