@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tradewinds.operators import causal
+from tradewinds.operators import causal, experiment
 from tradewinds.plans import catalog, studies
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +20,15 @@ def test_event_study_has_every_month(spark, monkeypatch):
 def test_joint_wald_of_a_singular_variance():
     wald, df = causal.joint_wald(np.array([2.0, 2.0, 0.0]), np.array([[4.0, 4.0, 0.0], [4.0, 4.0, 0.0], [0.0, 0.0, 1.0]]))
     assert df == 2 and abs(wald - 1) < 1e-9
+
+
+def test_replications_take_all_units_and_500_runs(spark, monkeypatch):
+    seen = {}
+
+    def taken(units, cluster, id_, lift, seeds):
+        seen.update(units=units.count(), seeds=seeds)
+        return units.limit(0)
+
+    monkeypatch.setattr(experiment, "replications", taken)
+    catalog.QUERIES["exp21_replications"](spark, SF)
+    assert seen == {"units": studies.units(spark, SF).count(), "seeds": 500}
