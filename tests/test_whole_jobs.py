@@ -32,3 +32,19 @@ def test_replications_take_all_units_and_500_runs(spark, monkeypatch):
     monkeypatch.setattr(experiment, "replications", taken)
     catalog.QUERIES["exp21_replications"](spark, SF)
     assert seen == {"units": studies.units(spark, SF).count(), "seeds": 500}
+
+
+def test_placebos_are_all_partners_and_equal_did(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    data = [(f"p{p}", str(c), t, float(rng.poisson(20)), t - 8, "taxed") for p in range(4) for c in range(6) for t in range(12)]
+    rows = spark.createDataFrame(data, "product string, partner string, t int, v double, rel int, `group` string").cache()
+    got = {r.partner: r.beta for r in causal.placebos(rows, "5").collect()}
+    assert set(got) == set("01234")
+    one = causal.did(rows.where("partner <> '5'").selectExpr("*", "partner = '2' and rel >= 0 as treated")).first()
+    assert abs(got["2"] - one.beta) < 1e-8
+    seen = []
+    monkeypatch.setattr(causal, "placebos", lambda rows, treated, n=30: seen.append(n) or rows.selectExpr("partner", "0D as beta"))
+    monkeypatch.setattr(causal, "did", lambda rows: spark.createDataFrame([(0.0,)], "beta double"))
+    catalog.QUERIES["cau07_placebos"](spark, SF)
+    catalog.QUERIES["cau08_permutation"](spark, SF)
+    assert seen == [30, 30]

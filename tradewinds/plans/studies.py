@@ -139,7 +139,7 @@ QUERIES |= {
     "cau13_monthly_pivot": lambda s, d: C.monthly_pivot(panel(s, d), ["Brand#2", "Brand#3"], ["1", "7"]),
     "cau04_did": lambda s, d: C.did(sample(s, d)),
     "cau06_event_study": lambda s, d: C.event_study(sample(s, d)),
-    "cau07_placebos": lambda s, d: C.placebos(sample(s, d), "7", 3),
+    "cau07_placebos": lambda s, d: C.placebos(sample(s, d), "7"),
     "cau12_block_bootstrap": lambda s, d: C.block_bootstrap(sample(s, d).where("at_treated").groupBy("t", "post").agg(F.sum("v").alias("v")), draws=500),
     "agg30_design": lambda s, d: sample(s, d).groupBy("group").agg(F.countDistinct("product").alias("products"), F.sum(F.when(F.col("at_treated"), F.col("v").cast("decimal(18,2)")).otherwise(0)).cast("double").alias("value")),
 }
