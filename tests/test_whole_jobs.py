@@ -4,6 +4,7 @@ import numpy as np
 
 from tradewinds.operators import causal, experiment
 from tradewinds.plans import catalog, studies
+from tradewinds.sources import raw
 
 SF = "/root/testdata/sf0.001"
 
@@ -48,3 +49,10 @@ def test_placebos_are_all_partners_and_equal_did(spark, monkeypatch):
     catalog.QUERIES["cau07_placebos"](spark, SF)
     catalog.QUERIES["cau08_permutation"](spark, SF)
     assert seen == [30, 30]
+
+
+def test_src17_reads_two_months_of_a_whole_store(spark, monkeypatch):
+    seen, load = [], raw.load
+    monkeypatch.setattr(raw, "load", lambda s, root, *a: seen.append(s.read.parquet(root).count()) or load(s, root, *a))
+    got = catalog.QUERIES["src17_load"](spark, SF)
+    assert seen == [spark.read.parquet(f"{SF}/orders.parquet").count()] and 0 < got.count() < seen[0]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
 from tradewinds.functions import scalars as S
@@ -16,13 +20,31 @@ def _parts(s, d):
     return read(s, d, "part")
 
 
+def _delete(s, path):
+    try:
+        where = s.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(s.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the JVM may be gone already
+        return
+
+
+def _load(s, d):
+    """All months of the orders into the shared folder, two of them read back."""
+    top = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tradewinds-")  # unset in tests
+    path = f"{top.rstrip('/')}/months-{uuid.uuid4().hex}"
+    rows = read(s, d, "orders").select("o_orderkey", "o_custkey", F.lit("exp").alias("flow"), F.date_format("o_orderdate", "yyyy-MM").alias("period"))
+    R.write_months(rows.repartition("period"), path)
+    atexit.register(_delete, s, path)  # results read it lazily
+    return R.load(s, path, "exp", ["o_orderkey"], ["1999-01", "1999-02"])
+
+
 QUERIES |= {
     "scl03_normalize_code": lambda s, d: read(s, d, "orders").select("o_orderkey", S.normalize_code(F.concat(F.lit("00"), F.col("o_orderkey").cast("string"), F.lit("x"))).alias("code")),
     "scl02_description": lambda s, d: _parts(s, d).select("p_partkey", S.description(F.concat(F.when(F.col("p_partkey") % 2 == 0, F.lit("A-1~")).otherwise(F.lit("")), F.col("p_name"), F.lit(" uno dos tres cuatro cinco"))).alias("words")),
     "src11_dates": lambda s, d: read(s, d, "orders").select("o_orderkey", S.parse_date(F.when(F.col("o_orderkey") % 5 == 0, F.lit("00000000")).when(F.col("o_orderkey") % 7 == 0, F.lit("31022024")).otherwise(F.date_format("o_orderdate", "ddMMyyyy"))).cast("string").alias("day")),
     "src12_amounts": lambda s, d: _parts(s, d).select("p_partkey", S.parse_amount(F.when(F.col("p_partkey") % 5 == 0, F.lit("nan")).when(F.col("p_partkey") % 7 == 0, F.lit("1.5d")).otherwise(F.regexp_replace(F.col("p_retailprice").cast("decimal(12,2)").cast("string"), r"\.", ","))).alias("amount")),
     "src15_log_upsert": lambda s, d: R.upsert_log(*(read(s, d, "orders").where(w).groupBy(F.col("o_orderstatus").alias("kind"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("rows")) for w in ("true", "o_orderkey % 3 = 0"))),
-    "src17_load": lambda s, d: read(s, d, "orders").where("o_orderdate >= timestamp'1999-01-01' and o_orderdate < timestamp'1999-03-01'").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM").alias("period")),
+    "src17_load": _load,
     "src19_html_tables": lambda s, d: R.html_tables(read(s, d, "pages")).groupBy("page_id").agg(F.count("*").alias("rows"), F.countDistinct("table").alias("tables")),
     "src20_ports": lambda s, d: R.port_hierarchy(
         read(s, d, "nation").select((F.col("n_regionkey") * 100 + F.col("n_nationkey") + 1).alias("seq"), F.when(F.col("n_nationkey") % 3 == 0, F.lit("country")).otherwise(F.lit("port")).alias("kind"), F.col("n_nationkey").cast("string").alias("code"), F.col("n_name").alias("name"))
