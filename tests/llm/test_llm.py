@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tradewinds.llm import hostrules, langid, mixing, ngram_join, packing, pii, quality, tokencount, topk, toxicity
@@ -364,6 +365,60 @@ def test_op10_plan_holds_every_capacity():
         packing.plan({2048: 1}, packing.Capacity(2048, 4, 2048))
 
 
+def test_op10_ids_of_letters_beside_marks():
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    path = packing.default_path()
+    tok = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c))[0] == "L" and not 0x3400 <= c < 0xD7A4 and not 0x10000 <= c]
+    ids = packing.Ids(path)
+    for m in ".,!?;:":
+        texts = [" ".join(f"{c}{m} {m}{c} a{c}{m}\n{c}a" for c in letters[i : i + 200]) for i in range(0, len(letters), 200)]
+        flat, at = ids(pa.array(texts))
+        assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_op10_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = tokencount.default_path()
+    assert packing.drops_blanks(packing.default_path()) and not packing.drops_blanks(path)
+    flat, at = packing.Ids(path)(pa.array(["a  b\n c", None, "", "x."]))
+    tok = Tokenizer.from_file(path)
+    assert [flat[a:b].tolist() for a, b in zip(at, at[1:])] == [tok.encode(t).ids for t in ("a  b\n c", "", "", "x.")]
+    assert tokencount.cuts_at_blanks(path) and not tokencount.cuts_at_blanks(packing.default_path())
+
+
+def test_op10_forgets_parts_beyond_its_bound(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 3)
+    ids = packing.Ids(packing.default_path())
+    got = [ids(pa.array([t]))[0].tolist() for t in ("a b c d e", "x a", "a b c d e")]
+    assert got[0] == got[2] and len(ids.slot) == 7
+
+
+def test_op10_repeated_rows_and_best_fit(spark):
+    rows = packing.pack(docs_of(spark, ["same text", "same text", None], ids=[5, 5, None]), packing.default_path()).collect()
+    assert sorted((r.offset, r.length) for r in rows) == [(0, 3), (3, 3), (6, 1)] and len({r.sequence_id for r in rows}) == 1
+    # brute force: each piece, longest first, goes to the fitting bin that is left with the smallest weighted norm of residuals
+    cap = packing.Capacity(100, 4, 5000, (1.0, 0.2, 0.3))
+    rng = random.Random(15)
+    lengths = [rng.randrange(5, 70) for _ in range(60)]
+    bins = []
+    most = (cap.tokens, cap.pieces, cap.attention)
+    for x in sorted(lengths, reverse=True):
+        need = (x, 1, x * x)
+        fits = [b for b in bins if all(r >= v for r, v in zip(b, need))]
+        if not fits:
+            fits = [list(most)]
+            bins += fits
+        best = min(fits, key=lambda b: sum(w * ((r - v) / m) ** 2 for w, r, v, m in zip(cap.weights, b, need, most)))
+        best[:] = [r - v for r, v in zip(best, need)]
+    counts = {x: lengths.count(x) for x in lengths}
+    got = packing.plan(counts, cap)
+    assert abs(len({s + k for _, _, n, s, _ in got.tolist() for k in range(n)}) - len(bins)) <= 1
+
 def test_pipeline_stages_by_brute_force(spark):
     import corpus_pipeline as P
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: a batch of the longest documents still fits a Python worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of one Arrow batch at most: the same for every operator, so that the order in which queries are built and run does not matter.
+ARROW_ROWS, ARROW_BYTES = 4000, 16 << 20
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -19,15 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def configure(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows that a Python worker holds at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def configure(spark: SparkSession) -> None:
+    """Bound the rows and bytes that a Python worker holds at once; a batch has at least one row, however long its text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; where it is unset (tests), a temporary one is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_tradewinds_dir", None)
+    """The folder of `spark.checkpoint.dir`, or else the session's checkpoint folder.
+
+    Where neither is set, a session of one machine (master local) gets a folder of its own; a cluster, whose executors would not see it, is an error.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or getattr(spark, "_tradewinds_dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark._tradewinds_dir = tempfile.mkdtemp(prefix="tradewinds-")
     return found.rstrip("/")
 
@@ -59,6 +66,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
+    """Tables that results read lazily stay until the driver ends."""
     for spark, path in _written:
         try:
             _delete(spark, path)

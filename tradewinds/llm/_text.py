@@ -29,11 +29,15 @@ class Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.turn()
+        self[key] = value
+        return value
+
+    def turn(self) -> None:
+        """A full cache becomes the older half."""
         if len(self) >= CACHE:
             self.old = dict(self)
             self.clear()
-        self[key] = value
-        return value
 
 
 def word_cache() -> Cache:

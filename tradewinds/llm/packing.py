@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tradewinds.llm._io import materialise
-from tradewinds.llm._text import Cache
 from tradewinds.llm.tokencount import tokenizer
 
 #: Parts of a length's pieces, by id: ranks are taken within a part.
@@ -21,7 +23,11 @@ SALTS = 64
 
 @dataclass(frozen=True)
 class Capacity:
-    """What a sequence holds at most: tokens, pieces, and attention cost (the sum of squared piece lengths); and the weights of the three."""
+    """What a sequence holds at most: tokens, pieces, and attention cost (the sum of squared piece lengths); and the weights of the three.
+
+    The defaults are the task's: only its 2,048 tokens bind there. A piece has at least one token and squares sum to at most the square of the sum, so the
+    other two limits cannot be met first; with tighter limits they choose and close bins as the tokens do.
+    """
 
     tokens: int = 2048
     pieces: int = 2048
@@ -29,30 +35,81 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
 
 
+#: Parts that are encoded together; distinct parts that a worker keeps, beside those of one batch.
+TOGETHER, KEPT = 512, 800_000
+
+
 class Ids:
-    """Token ids of a text as little-endian 4-byte values.
+    """Token ids of texts.
 
-    For a tokenizer that drops white space, which no token spans, ignores case, and never joins letters and other characters: the parts between blanks and line
-    ends are encoded one by one and kept; a mark behind letters and the case of ASCII letters are taken off first.
+    For a tokenizer that drops white space and joins nothing across it: the parts between blanks and line ends are encoded as they stand, each once, and kept.
+    The parts that a batch of texts lacks are encoded together with blanks between them, and cut by the tokens' places. Other tokenizers encode whole texts.
     """
 
     def __init__(self, path: str):
         self.tok = tokenizer(path, plain=False)
-        self.cache = Cache(self._part)
-
-    def _part(self, w: str) -> bytes:
-        if not w:
-            return b""
-        if w[-1] in ".,!?;:" and w[:-1].isalpha():
-            return self.cache[w[:-1]] + self.cache[w[-1]]
-        if w.isascii() and w.isalpha() and not w.islower():
-            return self.cache[w.lower()]
-        return np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
+        self.cuts = drops_blanks(path)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[str, int] = {"": 0}
+        self.ids, self.upto = np.empty(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)  # a slot's ids end at upto[slot + 1]
+
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of new parts, in new slots."""
+        for i in range(0, len(parts), TOGETHER):
+            some = parts[i : i + TOGETHER]
+            got = self.tok.encode_batch([" ".join(some)], add_special_tokens=False)[0]
+            new = np.array(got.ids, np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            at = np.searchsorted(np.array([o[0] for o in got.offsets], np.int64), ends)
+            first = len(self.slot)
+            begin = self.upto[first]
+            self.ids, self.upto = _room(self.ids, begin + len(new)), _room(self.upto, first + len(some) + 1)
+            self.ids[begin : begin + len(new)] = new
+            self.upto[first + 1 : first + len(some) + 1] = begin + at
+            self.slot.update(zip(some, range(first, first + len(some))))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one behind the other, and where each text's begin (and the last one's end). Null texts have none."""
+        texts = pc.fill_null(texts, "")
+        if not self.cuts:
+            each = [np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.to_pylist()]
+            return np.concatenate([*each, np.empty(0, np.uint32)]), np.cumsum([0, *map(len, each)])
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        parts = lists.flatten().dictionary_encode()
+        known = parts.dictionary.to_pylist()
+        if len(self.slot) > KEPT:
+            self._clear()
+        slots = np.fromiter(map(self.slot.get, known, repeat(-1)), np.int64, len(known))
+        lacking = np.flatnonzero(slots < 0)
+        first = len(self.slot)
+        self._learn([known[i] for i in lacking.tolist()])
+        slots[lacking] = np.arange(first, first + len(lacking))
+        slots = slots[parts.indices.to_numpy()]
+        begin = self.upto[slots]
+        n = self.upto[slots + 1] - begin
+        upto = np.concatenate(([0], np.cumsum(n)))
+        ids = self.ids[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])]
+        return ids, np.concatenate(([0], upto[np.cumsum(pc.list_value_length(lists).to_numpy())]))
+
+
+def _room(x: np.ndarray, n: int) -> np.ndarray:
+    return x if n <= len(x) else np.concatenate([x, np.zeros(max(n, 2 * len(x)) - len(x), x.dtype)])
+
+
+def drops_blanks(path: str) -> bool:
+    """Whether a tokenizer ignores case and white space and joins no characters across it, so that the parts of a text can be encoded each."""
+    t = json.loads(tokenizer(path, plain=False).to_str())
+    steps = (t["pre_tokenizer"] or {}).get("pretokenizers", [])
+    inner = t["normalizer"] or {}
+    split = steps[0] if steps else {}
+    pattern = split.get("pattern", {}).get("Regex", "")
+    runs = pattern.split("|")
+    whole = all("\\s" not in r or r == r"[^\s\p{L}\p{N}]+" for r in runs) and " " not in pattern
+    lower = any(n.get("type") == "Lowercase" for n in inner.get("normalizers", [inner]))
+    special = all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] and not any(c.isspace() or c.isupper() for c in x["content"]) for x in t["added_tokens"])
+    return split.get("type") == "Split" and split.get("behavior") == "Removed" and split.get("invert") is True and r"[\p{L}]+" in runs and whole and lower and special and all(s.get("type") in ("Split", "ByteLevel") and not s.get("add_prefix_space") and not s.get("use_regex") for s in steps)
 
 
 _ids: dict[str, Ids] = {}
@@ -72,8 +129,10 @@ def pieces(docs: DataFrame, path: str, tokens: int) -> DataFrame:
         encode = ids_of(path)
         for batch in batches:
             cols: list[list] = [[] for _ in range(5)]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                raw = encode(text) + b"\0\0\0\0"
+            ids, at = encode(batch.column("text"))
+            at = at.tolist()
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), at, at[1:]):
+                raw = ids[a:b].tobytes() + b"\0\0\0\0"
                 for k, at in enumerate(range(0, len(raw), 4 * tokens)):
                     part = raw[at : at + 4 * tokens]
                     for col, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part))):

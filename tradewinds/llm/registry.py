@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from tradewinds.llm import hostrules, langid, mixing, ngram_join, packing, pii, quality, tokencount, topk, toxicity
-from tradewinds.llm._io import ARROW_ROWS, configure, table
+from tradewinds.llm._io import configure, table
 
 
-def _over(*names, operator, rows=ARROW_ROWS):
+def _over(*names, operator):
     def query(spark, sf_dir):
-        configure(spark, rows)
+        configure(spark)
         return operator(*(table(spark, sf_dir, n) for n in names))
 
     return query
@@ -17,7 +17,7 @@ def _over(*names, operator, rows=ARROW_ROWS):
 QUERIES = {
     "op1_ngram_jaccard": _over("documents", operator=ngram_join.report),
     "op2_pii_votes": _over("documents", operator=pii.report),
-    "op3_pivot_topk": _over("embeddings", operator=topk.top_k, rows=8),
+    "op3_pivot_topk": _over("embeddings", operator=topk.top_k),
     "op4_quality_pu": _over("documents", "labels", operator=quality.report),
     "op5_mix_sources": _over("documents", operator=mixing.report),
     "op6_token_counts": _over("documents", operator=tokencount.report),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,15 +24,25 @@ def tokenizer(path: str, plain: bool = True):
     return _tokenizers[path, plain]
 
 
+def cuts_at_blanks(path: str) -> bool:
+    """Whether a tokenizer is a byte-level BPE that takes a text as it is and splits it by that kind's own pattern, by which a blank opens the word behind it."""
+    t = json.loads(tokenizer(path).to_str())
+    split = t["pre_tokenizer"] or {}
+    spaced = any(c.isspace() for x in t["added_tokens"] if not x["special"] for c in x["content"])
+    return t["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex") is True and not split.get("add_prefix_space") and not spaced
+
+
 class Spans:
-    """Character spans of a byte-level BPE's tokens.
+    """Character spans of a tokenizer's tokens, over a whole document.
 
-    The pre-tokenizer never joins characters across a blank that stands between two other characters, nor across a line end that does. A
-    text whose blanks and line ends all stand alone is cut there; what is found for a piece is kept. Other texts are encoded whole.
+    The pattern of byte-level BPE never joins characters across a blank that stands between two other characters, nor across a line end that does. A
+    text whose blanks and line ends all stand alone is cut there, and what is found for a piece is kept, which gives the spans of the whole document. Other
+    texts, and all texts of other tokenizers, are encoded whole.
     """
 
     def __init__(self, path: str):
         self.tok = tokenizer(path)
+        self.cuts = cuts_at_blanks(path)
         self.cache = Cache(self._piece)
 
     def _piece(self, piece: str) -> tuple[bytes, int, int]:
@@ -41,8 +53,8 @@ class Spans:
         """Rows (start, end) in code points, end exclusive."""
         pieces = []
         lines = text.split("\n")
-        plain = True
-        for k, line in enumerate(lines):
+        plain = self.cuts
+        for k, line in enumerate(lines if plain else []):
             if not line or line[0].isspace() or line[-1].isspace():
                 plain = False
                 break
@@ -99,7 +111,8 @@ SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, doc_tok
 def count_tokens(docs: DataFrame, path: str, rule: str = "majority") -> DataFrame:
     """A row for each line of each whole text: its span, its tokens, the document's tokens and the tokens that cross a bound.
 
-    A document's sections sum to its tokens. Null and empty texts have one section of no tokens; each of equal rows is counted.
+    A document's sections sum to its tokens. Null and empty texts have one section of no tokens; each of equal rows is counted; an empty table gives an empty
+    one. A text is held whole in a Python worker, with its spans.
     """
     if rule not in ("majority", "start"):
         raise ValueError(f"unknown rule: {rule}")
