@@ -162,13 +162,51 @@ def test_op3_matches_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
-def test_op3_stops_early_and_keeps_large_scores_exact():
+def by_brute_force(rows, every=50, k=5):
+    v = [(i, np.floor(256 * np.array(x, np.float32).astype(float))) for i, x in dict.fromkeys((i, tuple(x)) for i, x in rows if i is not None and x is not None and all(e is not None and np.isfinite(e) for e in x))]
+    best = {}
+    for q, a in v:
+        if q % every == 0:
+            for x, b in v:
+                if x != q and len(a) == len(b):
+                    s = int(sum(int(m) * int(n) for m, n in zip(a, b)))
+                    best[q, x] = max(s, best.get((q, x), s))
+    out = []
+    for q in {q for q, _ in best}:
+        top = sorted((-s, x) for (p, x), s in best.items() if p == q)[:k]
+        out += [(q, r + 1, x, -s) for r, (s, x) in enumerate(top)]
+    return sorted(out)
+
+
+def test_op3_odd_vectors(spark, monkeypatch):
+    """Empty, one-dimensional, equal, tied and repeated vectors, few candidates, clashing columns, blocks and rounds of a few rows, an empty table."""
+    for name, value in (("BLOCK", 7), ("ROUND", 3), ("SAMPLE", 20), ("CHUNK", 2)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(7)
+    rows = [(i, [], 0) for i in (0, 3, 50)] + [(100 + i, [float(i % 4)], 0) for i in range(60)] + [(200 + i, [1.0, 2.0], 0) for i in range(40)]
+    rows += [(300 + i % 70, rng.integers(-3, 3, 3).astype(float).tolist(), 0) for i in range(200)] + [(400, [5.0] * 9, 0), (450, [0.0] * 5, 0), (451, [0.0] * 5, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, dim int").repartition(5)
+    got = topk.top_k(df.withColumn("v", df.dim).withColumn("score", df.dim)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == by_brute_force([r[:2] for r in rows])
+    assert topk.top_k(df.where("vec_id = -1")).count() == 0 and topk.top_k(df.where("vec_id = 3")).count() == 0
+
+
+def test_op3_rules_out_far_blocks_and_keeps_large_scores_exact():
     rng = np.random.default_rng(5)
     centres = rng.standard_normal((20, 4)) * 100
-    x = np.floor(centres[rng.integers(0, 20, 4000)] + rng.standard_normal((4000, 4)))
-    tally = []
-    topk.search(np.arange(50), x[:50], np.arange(4000), x, topk.choose_pivots(x, 16), float((x * x).sum(1).max()), 5, tally)
-    assert np.mean(tally) < 3000
+    x = np.floor(centres[np.sort(rng.integers(0, 20, 4000))] + rng.standard_normal((4000, 4)))
+    ids = np.arange(len(x))
+    space = topk.Space(topk.choose_pivots(x, 64), float((x * x).sum(1).max()))
+    best, scored = topk.Best(5, np.full(50, -np.inf)), 0
+    q = x[::80]
+    for a in range(0, len(x), 200):
+        block = topk.Block(ids[a : a + 200], x[a : a + 200], space.distances(x[a : a + 200], True))
+        scored += topk.search(space, ids[::80], q, space.distances(q, False), block, best)
+    assert scored < 0.6 * len(q) * len(x)
+    for i in range(50):
+        s = q[i] @ x.T
+        want = sorted((-int(s[j]), j) for j in ids if j != ids[80 * i])[:5]
+        assert sorted((-v, j) for j, v in best.found[i].items()) == want
     big = np.array([[2.0**40, 1.0]])
     assert topk.scores(big, big)[0][0] == 2**63 - 1
 

@@ -50,6 +50,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return out
 
 
+def empty_table(spark: SparkSession, schema: str) -> DataFrame:
+    """A table of the shared folder without rows, for `append`."""
+    return materialise(spark.createDataFrame([], schema))
+
+
+def append(df: DataFrame, to: DataFrame) -> None:
+    """Add rows to a table of `materialise`."""
+    df.select(*to.columns).write.mode("append").parquet(to._tradewinds_path)
+
+
+def reread(df: DataFrame) -> DataFrame:
+    """A table of `materialise` with what was added to it."""
+    return df.sparkSession.read.schema(df.schema).parquet(df._tradewinds_path)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of `materialise` that no later plan reads."""
     path = getattr(df, "_tradewinds_path", None)

@@ -8,22 +8,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Pivots; bounded sample that they are chosen from; rows of a block of candidates and of queries; candidates scored at once.
-PIVOTS, SAMPLE, BLOCK, QUERIES, CHUNK = 16, 2_000, 4_096, 512, 64
+from tradewinds.llm._io import append, empty_table, materialise, release, reread
+
+#: Pivots; bounded sample that they are chosen from; rows of a block of candidates; queries of a round, on average; candidates scored at once; pivots that a
+#: block's candidates are held against at once, and the share of candidates that each such step must rule out for the next one to pay.
+PIVOTS, SAMPLE, BLOCK, ROUND, CHUNK, STEP, PAYS = 128, 8_000, 2_048, 4_096, 64, 16, 0.1
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id, dim, v: floor(scale * x) of each component. Vectors that are null or hold a null or non-finite component are left out, null ids too."""
+    """vec_id, dim, v: floor(scale * x) of each component. Vectors that are null or hold a null or non-finite component are left out, null ids too; empty ones have dimension 0."""
     x = F.col("embedding")
     bad = F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e.cast("double")) == float("inf")))
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("embedding")).where(x.isNotNull() & F.col("vec_id").isNotNull() & ~bad)
     return rows.select("vec_id", F.size("embedding").alias("dim"), F.transform("embedding", lambda e: F.floor(e.cast("double") * scale).cast("double")).alias("v"))
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _by_dim(rows: pa.Table | pa.RecordBatch):
+    """dim, ids and the matrix of each dimension of vec_id, dim, v."""
+    if isinstance(rows, pa.Table):
+        if not rows.num_rows:
+            return
+        rows = rows.combine_chunks().to_batches()[0]
+    dims, ids = rows.column("dim").to_numpy(), rows.column("vec_id").to_numpy()
+    flat = rows.column("v").flatten().to_numpy(zero_copy_only=False).astype(float)
+    start = np.cumsum(dims, dtype=np.int64) - dims
+    for d in np.unique(dims).tolist():
+        at = np.flatnonzero(dims == d)
+        yield d, ids[at], flat[start[at][:, None] + np.arange(d)].reshape(len(at), d)
 
 
 def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
@@ -32,102 +43,225 @@ def choose_pivots(x: np.ndarray, n: int) -> np.ndarray:
         return x
     at = [int(((x - x.mean(0)) ** 2).sum(1).argmax())]
     near = ((x - x[at[0]]) ** 2).sum(1)
-    while len(at) < min(n, len(x)):
+    while len(at) < min(n, len(x)) and near.max() > 0:
         at.append(int(near.argmax()))
         near = np.minimum(near, ((x - x[at[-1]]) ** 2).sum(1))
     return x[at]
 
 
-def distances(x: np.ndarray, lift: np.ndarray, pivots: np.ndarray, pivot_lift: np.ndarray) -> np.ndarray:
-    """Distances to the pivots with one more coordinate, `lift`, which gives all candidates the same norm."""
-    d = (x * x).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * x @ pivots.T + (lift[:, None] - pivot_lift[None, :]) ** 2
-    return np.sqrt(np.maximum(d, 0))
+class Space:
+    """The pivots of a dimension. `radius2`: the largest squared norm of a candidate; one more coordinate lifts every candidate to it."""
+
+    def __init__(self, pivots: np.ndarray, radius2: float):
+        self.pivots, self.radius2 = pivots, radius2
+        self.lift = np.sqrt(np.maximum(radius2 - (pivots * pivots).sum(1), 0))
+
+    def distances(self, x: np.ndarray, lifted: bool) -> np.ndarray:
+        """Distances to the pivots of candidates (lifted) or queries (at 0)."""
+        n2 = (x * x).sum(1)
+        lift = np.sqrt(np.maximum(self.radius2 - n2, 0)) if lifted else np.zeros(len(x))
+        p = self.pivots
+        d = n2[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T + (lift[:, None] - self.lift[None, :]) ** 2
+        return np.sqrt(np.maximum(d, 0))
+
+    def upper(self, q2: np.ndarray | float, low: np.ndarray) -> np.ndarray:
+        """The largest score of a query with squared norm q2 and candidates at a distance of `low` or more; with room for rounding."""
+        return (q2 + self.radius2 - low * low) / 2 + 1e-6 * (self.radius2 + q2) + 1
 
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Integer inner products, exact: doubles while every sum stays below 2**53, else Python integers, held to the range of a long."""
-    if len(x) and len(q) and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[-1] >= 2**53:
+    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[-1] >= 2**53:
         exact = [[sum(int(a) * int(b) for a, b in zip(u, v)) for v in x] for u in q]
         return np.array([[max(-(2**63), min(2**63 - 1, s)) for s in row] for row in exact], object)
     return (q @ x.T).astype(np.int64)
 
 
-def search(q_ids, q, x_ids, x, pivots, radius2: float, k: int, tally: list | None = None):
-    """The k best of x for each q: (score, id) lists.
+class Block:
+    """Candidates with their precomputed distances to the pivots, and the range of those for each pivot."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, dx: np.ndarray):
+        self.ids, self.x, self.dx = ids, x, dx
+        self.low, self.high = (dx.min(0), dx.max(0)) if len(dx) else (np.zeros(dx.shape[1]), np.zeros(dx.shape[1]))
+
+
+class Best:
+    """The k best candidates so far of each query, one entry an id, and the score that another one has to reach."""
+
+    def __init__(self, k: int, floor: np.ndarray):
+        self.k, self.floor = k, floor  # floor: a score that each query's k-th candidate is known to reach
+        self.found: list[dict[int, int]] = [{} for _ in floor]
+
+    def add(self, i: int, ids, s) -> None:
+        got = self.found[i]
+        for x, v in zip(ids.tolist(), s.tolist()):
+            if v >= self.floor[i] and v > got.get(x, -(2**64)):
+                got[x] = v
+        if len(got) > self.k:
+            keep = sorted(got.items(), key=lambda t: (-t[1], t[0]))[: self.k]
+            self.found[i] = got = dict(keep)
+        if len(got) == self.k:
+            self.floor[i] = max(self.floor[i], min(got.values()))
 
-    With |x|^2 + lift^2 = radius2 for all x, score = (|q|^2 + radius2 - d^2) / 2, and d is at least the largest |d(q, pivot) - d(x, pivot)|: an upper bound
-    of the score. Candidates are scored in order of that bound, until k are found and the next bound is below the k-th score.
+
+def search(space: Space, q_ids: np.ndarray, q: np.ndarray, dq: np.ndarray, block: Block, best: Best) -> int:
+    """Add the candidates of a block that may be among the k best; returns how many were scored.
+
+    With all candidates lifted to one norm, score = (|q|^2 + radius2 - d^2) / 2, and d is at least the largest |d(q, pivot) - d(x, pivot)|: an upper bound of
+    the score. A query whose bound over the whole block is below its k-th score leaves the block. Else pivots are applied STEP at a time, those farthest from
+    the block's distances first, as long as they rule candidates out, and what is left is scored in order of the bound until the next bound
+    is below the k-th score.
     """
-    lift = np.sqrt(np.maximum(radius2 - (x * x).sum(1), 0))
-    p_lift = np.sqrt(np.maximum(radius2 - (pivots * pivots).sum(1), 0))
-    dx = distances(x, lift, pivots, p_lift)
-    dq = distances(q, np.zeros(len(q)), pivots, p_lift)
-    slack = 1e-6 * (radius2 + (q * q).sum(1)) + 1
-    out = []
-    for i in range(len(q)):
-        low = np.abs(dx - dq[i]).max(1) if len(pivots) else np.zeros(len(x))
-        bound = ((q[i] @ q[i]) + radius2 - low * low) / 2 + slack[i]
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple] = []
-        step, at = CHUNK, 0
-        while at < len(order):
-            if len(best) == k and bound[order[at]] < best[-1][0]:
+    q2 = (q * q).sum(1)
+    gap = np.maximum(np.maximum(block.low - dq, dq - block.high), 0)
+    near = space.upper(q2, gap.max(1)) >= best.floor if gap.shape[1] else np.ones(len(q), bool)
+    middle = (block.low + block.high) / 2
+    scored = 0
+    for i in np.flatnonzero(near).tolist():
+        order = np.argsort(-np.abs(dq[i] - middle), kind="stable")
+        left = np.flatnonzero(block.ids != q_ids[i])
+        low = np.zeros(len(left))
+        for a in range(0, len(order), STEP):
+            some = order[a : a + STEP]
+            low = np.maximum(low, np.abs(block.dx[left[:, None], some] - dq[i, some]).max(1))
+            stay = space.upper(q2[i], low) >= best.floor[i]
+            before, left, low = len(left), left[stay], low[stay]
+            if not len(left) or before - len(left) < PAYS * before:
                 break
-            some = order[at : at + step]
-            some = some[x_ids[some] != q_ids[i]]
-            s = scores(q[i : i + 1], x[some])[0]
-            best = sorted([*best, *((int(a), int(b)) for a, b in zip(s, x_ids[some]))] if len(some) <= k else [*best, *_top(s, x_ids[some], k)], key=lambda t: (-t[0], t[1]))[:k]
+        bound = space.upper(q2[i], low)
+        order = np.argsort(-bound, kind="stable")
+        at, step = 0, CHUNK
+        while at < len(order) and bound[order[at]] >= best.floor[i]:
+            some = left[order[at : at + step]]
+            s = scores(q[i : i + 1], block.x[some])[0]
+            scored += len(some)
+            good = np.flatnonzero(s >= best.floor[i])
+            if len(good) > best.k and s.dtype != object:  # no more than k of them, and ties of the k-th
+                good = good[s[good] >= np.partition(s[good], -best.k)[-best.k]] if len(np.unique(block.ids[some[good]])) == len(good) else good
+            best.add(i, block.ids[some[good]], s[good])
             at += step
-            step = min(step * 4, 4096)
-        if tally is not None:
-            tally.append(min(at, len(order)))
-        out.append(best)
-    return out
+            step = min(step * 4, BLOCK)
+    return scored
+
+
+TABLE = "dim int, first int, last int, ids binary, wide boolean, v binary, dx binary"
+
+
+def _rows(ids: np.ndarray, dim: int, cell: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(ids), pa.array([r.tobytes() for r in x], pa.binary())], ["dim", "cell", "vec_id", "v"])
 
 
-def _top(s, ids, k):
-    at = np.lexsort((ids, -s))[:k] if s.dtype != object else sorted(range(len(s)), key=lambda j: (-s[j], ids[j]))[:k]
-    return [(int(s[j]), int(ids[j])) for j in at]
+def pivot_table(rows: DataFrame, spaces: dict[int, Space]) -> DataFrame:
+    """Blocks of candidates of one dimension that lie together, by nearest pivot, with their distances to all pivots: written once.
+
+    Rows are dealt out by range of (dimension, nearest pivot, hash), so a pivot with very many candidates is split.
+    """
+
+    def near(batches):
+        for batch in batches:
+            for dim, ids, x in _by_dim(batch):
+                dx = spaces[dim].distances(x, True)
+                yield _rows(ids, dim, dx.argmin(1) if dx.shape[1] else np.zeros(len(ids)), x)
+
+    def packed(batches):
+        for batch in batches:
+            dims, cells, ids = (batch.column(c).to_numpy() for c in ("dim", "cell", "vec_id"))
+            raw = batch.column("v").to_pylist()
+            edges = [0, *(np.flatnonzero(np.diff(dims)) + 1).tolist(), len(dims)]
+            for lo, hi in zip(edges, edges[1:]):
+                for a in range(lo, hi, BLOCK):
+                    b = min(a + BLOCK, hi)
+                    dim = int(dims[a])
+                    x = np.frombuffer(b"".join(raw[a:b])).reshape(b - a, dim)
+                    wide = bool(x.size and np.abs(x).max() >= 2**24)
+                    dx = spaces[dim].distances(x, True).astype(np.float32)
+                    one = [dim, int(cells[a]), int(cells[b - 1]), ids[a:b].astype(np.int64).tobytes(), wide, (x if wide else x.astype(np.float32)).tobytes(), dx.tobytes()]
+                    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, types)], ["dim", "first", "last", "ids", "wide", "v", "dx"])
+
+    dealt = rows.mapInArrow(near, "dim int, cell int, vec_id long, v binary").repartitionByRange("dim", "cell", F.xxhash64("vec_id", "v"))
+    return materialise(dealt.sortWithinPartitions("dim", "cell").mapInArrow(packed, TABLE))
+
+
+def _blocks(batches, spaces: dict[int, Space]):
+    for batch in batches:
+        for r in batch.to_pylist():
+            ids = np.frombuffer(r["ids"], np.int64)
+            x = np.frombuffer(r["v"], np.float64 if r["wide"] else np.float32).astype(float).reshape(len(ids), r["dim"])
+            yield r, Block(ids, x, np.frombuffer(r["dx"], np.float32).astype(float).reshape(len(ids), len(spaces[r["dim"]].pivots)))
 
 
-def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
+def top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
     """Queries are the rows whose id is divisible by `every`; candidates all rows but those of the query's id.
 
-    Candidates and queries are packed into blocks, and each block of queries meets each block of candidates of its dimension once; the k best of a pair of blocks
-    are merged by query. Repeated ids are queries and candidates each (the result has one list an id, over all its vectors, a candidate's best score counting).
-    Vectors of different lengths are never compared. Fewer than k candidates give fewer rows; an empty table gives none.
+    Pivots are chosen from a sample of SAMPLE rows. The pivot table is written once. Queries come in rounds of about ROUND, the only part of them that the
+    driver holds; a round goes over the table twice: first each query meets the blocks of its nearest pivot, which gives a score that its k-th candidate
+    reaches, then all blocks, from which that score and the pivots' bounds rule candidates out. Each task returns at most k candidates a query.
+
+    Repeated ids are queries and candidates each (the result has one list an id, over all its vectors, a candidate's best score counting; equal rows once).
+    Vectors of different lengths are never compared; empty vectors score 0 with one another. Ties go to smaller ids. Fewer than k candidates give fewer
+    rows; an empty table gives none; columns other than vec_id and embedding are not read.
     Returns query_id, rank, vec_id, score.
     """
+    spark = vectors.sparkSession
     rows = quantised(vectors)
     norms = rows.groupBy("dim").agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)).alias("r2"))
     radius = {r["dim"]: float(r["r2"]) for r in norms.collect()}  # one row a dimension
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    pivots = {d: choose_pivots(np.array([r["v"] for r in sample if r["dim"] == d], float).reshape(-1, d), PIVOTS) for d in radius}
+    found = empty_table(spark, "query_id long, score long, vec_id long")
+    if radius:
+        sample = rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(SAMPLE).toArrow()
+        chosen = {d: choose_pivots(x, pivots) for d, _, x in _by_dim(sample)}
+        spaces = {d: Space(chosen.get(d, np.zeros((0, d))), r2) for d, r2 in radius.items()}
+        table = pivot_table(rows, spaces)
+        queries = materialise(rows.where(F.col("vec_id") % every == 0).distinct())
+        rounds = -(-queries.count() // ROUND)
+        for r in range(rounds):
+            mine = queries.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(rounds)) == r).toArrow()
+            append(_round(table, {d: (ids, x) for d, ids, x in _by_dim(mine)}, spaces, k), found)
+        release(queries)
+        release(table)
+    best = reread(found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
-    def blocks(df, size, name):
-        total = df.count()
-        part = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-total // size)))).cast("int")
-        packed = df.groupBy("dim", part.alias(f"{name}_part")).agg(F.collect_list(F.struct("vec_id", "v")).alias(name))
-        return packed.select("dim", f"{name}_part", F.transform(name, lambda e: e["vec_id"]).alias(f"{name}_ids"), F.flatten(F.transform(name, lambda e: e["v"])).alias(f"{name}_v"))
 
-    queries = blocks(rows.where(F.col("vec_id") % every == 0), QUERIES, "q")
-    pairs = blocks(rows, BLOCK, "x").join(queries, "dim")
+def _round(table: DataFrame, queries: dict, spaces: dict[int, Space], k: int) -> DataFrame:
+    """Candidates of a round of queries: by task at most k a query, all that are among the k best of all."""
+    dq = {d: spaces[d].distances(x, False) for d, (_, x) in queries.items()}
 
-    def run(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                one = batch.slice(r, 1)
-                dim = one.column("dim")[0].as_py()
-                ids = {n: one.column(f"{n}_ids").flatten().to_numpy(zero_copy_only=False) for n in "qx"}
-                v = {n: one.column(f"{n}_v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids[n]), dim) for n in "qx"}
-                found = search(ids["q"], v["q"], ids["x"], v["x"], pivots[dim], radius[dim], k)
-                flat = [(int(q), s, x) for q, best in zip(ids["q"], found) for s, x in best]
-                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], pa.int64()) for j in range(3)], ["query_id", "score", "vec_id"])
-
-    best = pairs.repartition(F.col("dim"), F.col("x_part"), F.col("q_part")).mapInArrow(run, "query_id long, score long, vec_id long")
-    once = best.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def nearest(batches):
+        for r, block in _blocks(batches, spaces):
+            if r["dim"] not in queries:
+                continue
+            ids, x = queries[r["dim"]]
+            d = dq[r["dim"]]
+            cell = d.argmin(1) if d.shape[1] else np.zeros(len(ids))
+            at = np.flatnonzero((cell >= r["first"]) & (cell <= r["last"]))
+            best = Best(k, np.full(len(at), -np.inf))
+            search(spaces[r["dim"]], ids[at], x[at], d[at], block, best)
+            yield _found([(r["dim"], int(i)) for i in at], best, ["dim", "row"])
+
+    def every(batches):
+        best = {d: Best(k, floor[d].copy()) for d in queries}
+        for r, block in _blocks(batches, spaces):
+            if r["dim"] in queries:
+                ids, x = queries[r["dim"]]
+                search(spaces[r["dim"]], ids, x, dq[r["dim"]], block, best[r["dim"]])
+        for d, b in best.items():
+            yield _found([(int(i),) for i in queries[d][0]], b, ["query_id"])
+
+    floor = {d: np.full(len(ids), -np.inf) for d, (ids, _) in queries.items()}
+    near = table.mapInArrow(nearest, "dim int, row int, score long, vec_id long").groupBy("dim", "row", "vec_id").agg(F.max("score").alias("score"))
+    place = F.row_number().over(W.partitionBy("dim", "row").orderBy(F.col("score").desc()))
+    for r in near.withColumn("place", place).where(F.col("place") == k).collect():  # at most one a query of the round
+        floor[r["dim"]][r["row"]] = r["score"]
+    return table.mapInArrow(every, "query_id long, score long, vec_id long")
+
+
+def _found(keys: list[tuple], best: Best, names: list[str]) -> pa.RecordBatch:
+    flat = [(*key, s, x) for key, got in zip(keys, best.found) for x, s in got.items()]
+    types = [*([pa.int64()] if names == ["query_id"] else [pa.int32()] * len(names)), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], t) for j, t in enumerate(types)], [*names, "score", "vec_id"])
 
 
 ORACLE = """
