@@ -354,7 +354,7 @@ def test_op9_learns_languages(spark):
     alphabet = {"aa": "abcdef", "bb": "defghi", "cc": "ghiabc"}
     langs = [rng.choice(list(alphabet)) for _ in range(400)]
     texts = [" ".join("".join(rng.choice(alphabet[x]) for _ in range(5)) for _ in range(20)) for x in langs]
-    extra = [None, "", "123 !!", "…", "é"]
+    extra = [None, "", "123 !!", "½ ² ① Ⅷ", "é"]
     out = {r.doc_id: r for r in langid.report(docs_of(spark, texts + extra, langs=langs + [None] * len(extra))).collect()}
     held = [i for i in range(400) if out[i].held_out]
     assert np.mean([out[i].lang_pred == langs[i] for i in held]) > 0.97
@@ -362,6 +362,18 @@ def test_op9_learns_languages(spark):
     assert {r.lang_pred for r in langid.report(docs_of(spark, ["abc"])).collect()} == {"und"}
 
 
+
+def test_op9_bounds_count_rows_and_grams(spark):
+    rng = random.Random(16)
+    texts = ["".join(rng.choice("abc" if k % 2 else "xyz") for _ in range(40)) for k in range(60)]
+    docs = docs_of(spark, texts * 3, ids=[k % 50 for k in range(180)], langs=["aa" if k % 2 else "bb" for k in range(60)] * 3)
+    assert langid.fit(docs, 20, 10_000)["langs"] == ["aa", "bb"]
+    assert langid.fit(docs, 20, 0) is None
+    got = langid.report(docs.unionByName(docs_of(spark, ["abc"], ids=[None]))).collect()
+    assert len(got) == 181 and not [r for r in got if r.doc_id is None][0].held_out
+    assert langid.report(docs_of(spark, [])).count() == 0
+
+
 def test_op10_round_trip(spark):
     from tokenizers import Tokenizer
 

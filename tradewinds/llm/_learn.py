@@ -21,8 +21,9 @@ def bounded(pairs: DataFrame, most: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """label and text of the documents with those ids."""
-    return docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), "id").select("id", "label", "text")
+    """id, label and text of the documents with those ids; of a repeated id the text with the smallest hash, so no more rows than ids."""
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids), "id")
+    return rows.groupBy("id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def unlabelled(docs: DataFrame, n: int, out: int, most: int) -> DataFrame:

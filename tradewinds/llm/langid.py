@@ -2,22 +2,26 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewinds.llm._io import crc_mod
+from tradewinds.llm._io import crc_mod, materialise, release
 from tradewinds.llm._learn import bounded
 
-#: Hashed n-grams of 1 to 3 characters; bound of the labelled documents that the model is fitted to; share of them that calibrates.
-BITS, ORDERS, MOST_LABELLED, CALIBRATION = 15, 3, 8_000, 0.2
-LETTER = re.compile(r"[^\W\d_]")
+#: Hashed n-grams of 1 to 3 characters; share of the labelled documents that calibrates.
+BITS, ORDERS, CALIBRATION = 15, 3, 0.2
+#: Bounds of the sample that the weights are fitted to: labelled documents, and distinct n-grams over all of them, which are what the driver holds.
+MOST_LABELLED, MOST_GRAMS = 8_000, 12_000_000
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 
 
+def has_letter(text: str | None) -> bool:
+    """Letters are the characters of Unicode's categories L; numerals and fractions are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of a whole text in lower case, and their counts."""
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -95,21 +99,30 @@ def temperature(scores: np.ndarray, y: np.ndarray) -> float:
     return float(min(grid, key=loss))
 
 
-def fit(docs: DataFrame) -> dict | None:
-    """Model from texts with a language whose crc32 modulo 4 is not 2: IDF from all of them, weights from a bounded sample; None without any."""
+def fit(docs: DataFrame, most: int = MOST_LABELLED, most_grams: int = MOST_GRAMS) -> dict | None:
+    """Model from texts with a language whose crc32 modulo 4 is not 2: IDF from all of them, weights from a bounded sample; None without any.
+
+    The sample is one row of each of at most `most` ids, in the order of a hash, as far as their distinct n-grams stay within `most_grams`.
+    """
     usable = docs.select(F.col("doc_id").alias("id"), "lang", "text").where((crc_mod(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
-    ids = bounded(usable.select("id").distinct(), MOST_LABELLED)
-    rows = usable.join(F.broadcast(ids), "id").select("id", "lang", "text")
+    ids = bounded(usable.select("id").distinct(), most)
+    one = F.min_by(F.struct("lang", "text"), F.xxhash64("lang", "text")).alias("one")
+    rows = usable.join(F.broadcast(ids), "id").groupBy("id").agg(one).select("id", "one.lang", "one.text")
     idf = idf_of(usable)
 
     def vectors(batches):
         for batch in batches:
             xs = [vector(t, idf) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("lang"), pa.array([a.astype(np.int32).tobytes() for a, _ in xs], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in xs], pa.binary())], ["id", "lang", "at", "v"]
+                [batch.column("id"), batch.column("lang"), pa.array([len(a) for a, _ in xs], pa.int64()), pa.array([a.astype(np.int32).tobytes() for a, _ in xs], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in xs], pa.binary())],
+                ["id", "lang", "n", "at", "v"],
             )
 
-    got = rows.mapInArrow(vectors, "id long, lang string, at binary, v binary").toPandas()
+    table = materialise(rows.mapInArrow(vectors, "id long, lang string, n long, at binary, v binary"))
+    upto = table.select("id", F.xxhash64("id").alias("h"), "n").toPandas().sort_values(["h", "id"])
+    last = upto[upto["n"].cumsum() <= most_grams].tail(1).to_dict("records")
+    got = table.where(" or ".join(f"xxhash64(id) < {r['h']}L or xxhash64(id) = {r['h']}L and id <= {r['id']}L" for r in last) or "false").toPandas()
+    release(table)
     if not len(got):
         return None
     got = got.assign(h=[(int(i) * 2654435761) % 4294967296 for i in got["id"]]).sort_values(["h", "id", "lang", "at", "v"]).reset_index(drop=True)
@@ -123,14 +136,17 @@ def fit(docs: DataFrame) -> dict | None:
 
 
 def predict(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every whole text; `und` with score 0 where text is null, has no letter, or no language could be learned."""
+    """doc_id, held_out, lang_pred, score of every whole text; `und` with score 0 where text is null, has no letter, or no language could be learned.
+
+    Rows with null ids are not held out; equal rows are predicted each; an empty table gives an empty one.
+    """
     rows = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"), "text")
 
     def predicted(batches):
         for batch in batches:
             lang, score = [], []
             for t in batch.column("text").to_pylist():
-                if model is None or not t or not LETTER.search(t):
+                if model is None or not has_letter(t):
                     lang.append("und")
                     score.append(0.0)
                     continue
