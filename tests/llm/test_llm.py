@@ -37,9 +37,10 @@ def shingle_sets(texts, n=5):
 
 
 def near_expected(ids, texts):
-    """Per row: the group's smallest id and the number of linked classes."""
+    """Per row: the group's smallest id and the number of different other texts that it is linked with."""
     sets = shingle_sets(texts)
     classes = list(dict.fromkeys(sets))
+    different = {c: len({t or "" for t, x in zip(texts, sets) if x == c}) for c in classes}
     up = list(range(len(classes)))
 
     def root(i):
@@ -47,13 +48,13 @@ def near_expected(ids, texts):
             i = up[i]
         return i
 
-    links = [0] * len(classes)
+    links = [different[c] - 1 for c in classes]
     for i in range(len(classes)):
         for j in range(i):
             inter = len(classes[i] & classes[j])
             if inter and 9 * inter >= 4 * (len(classes[i]) + len(classes[j])):
-                links[i] += 1
-                links[j] += 1
+                links[i] += different[classes[j]]
+                links[j] += different[classes[i]]
                 up[max(root(i), root(j))] = min(root(i), root(j))
     at = {s: k for k, s in enumerate(classes)}
     small = {}
@@ -70,6 +71,7 @@ def near_texts():
     for _ in range(30):
         base = prose(rng, 120).split()
         texts.append(" ".join(base))
+        texts += ["\n".join(base)] * rng.randrange(2) + [" ".join(base[:100])] * rng.randrange(2)
         for _ in range(rng.randrange(5)):
             w = base[:]
             for _ in range(rng.randrange(1, 5)):
@@ -87,10 +89,10 @@ def test_op1_matches_brute_force(spark):
 
 def test_op1_blocks_and_keep_one(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join._blocked, "__defaults__", (4,))
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
     rng = random.Random(2)
     base = prose(rng, 100).split()
-    texts = [" ".join([*base[:k], "z", *base[k + 1 :]]) for k in range(0, 100, 5)] + ["other text of six words here"] * 3
+    texts = [" ".join([*base[:k], "z", *base[k + 1 :]]) for k in range(0, 100, 5)] + [" ".join(base[:n]) for n in range(60, 100, 4)] + ["other text of six words here"] * 3
     ids = list(range(len(texts)))
     docs = docs_of(spark, texts, ids=ids)
     got = ngram_join.near_duplicates(docs).collect()
@@ -98,11 +100,37 @@ def test_op1_blocks_and_keep_one(spark, monkeypatch):
     kept = ngram_join.keep_one(docs.unionByName(docs))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted({e[2] for e in near_expected(ids, texts)})
-
-
-def test_op1_prefix_depth_meets_recall():
-    d = ngram_join.prefix_depth(0.8)
-    assert ngram_join.recall(0.8, d, ngram_join.TREES) >= ngram_join.RECALL > ngram_join.recall(0.8, d + 1, ngram_join.TREES)
+    assert ngram_join.report(docs.where("false")).count() == 0 and ngram_join.keep_one(docs.where("false")).count() == 0
+
+
+def test_op1_prefixes_are_shortened_until_recall():
+    levels = ngram_join.DEEPEST - ngram_join.SHORTEST + 1
+    none = np.zeros((ngram_join.TREES, levels), np.uint8)
+    even = ngram_join.shortened(none, 0.8)
+    assert ngram_join.recall(0.8, even) >= ngram_join.RECALL > ngram_join.recall(0.8, [*even[:-1], even[-1] + 1] if even[-1] < 7 else even + (even < 7))
+    crowded = none.copy()
+    crowded[:6] = 5
+    some = ngram_join.shortened(crowded, 0.8)
+    assert (some[:6] == ngram_join.DEEPEST).all() and (some[6:] < ngram_join.DEEPEST).all() and ngram_join.recall(0.8, some) >= ngram_join.RECALL
+    assert ngram_join.recall(0.8, ngram_join.shortened(crowded + 9, 0.8)) >= ngram_join.RECALL
+    assert ngram_join.shortened(none, 0.3).tolist() == [ngram_join.SHORTEST] * ngram_join.TREES  # out of reach: as short as it gets
+
+
+def test_op1_clusters():
+    rng = np.random.default_rng(3)
+    linked = np.zeros((40, 40), bool)
+    for i in rng.permutation(38):
+        linked[i, i + 1] = linked[i + 1, i] = i != 20
+    assert ngram_join.clusters(linked).tolist() == [0] * 21 + [21] * 18 + [39]
+
+
+def test_op1_recall_of_every_twentieth_document(spark):
+    """All links of the documents whose id is divisible by 20, against all documents by brute force."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {r.doc_id: s for r, s in zip(rows, shingle_sets([r.text for r in rows]))}
+    group = {r.doc_id: r.group for r in ngram_join.near_duplicates(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    links = [(a, b) for a in sets if a % 20 == 0 for b in sets if a != b and sets[a] and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    assert links and all(group[a] == group[b] for a, b in links)
 
 
 def luhn(d):
