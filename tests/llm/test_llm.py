@@ -169,6 +169,60 @@ def test_op2_redacts_all_spans(spark):
     assert secret not in out[1].text and out[2].text == "plain" and out[3].text is None
 
 
+def added_spans(t, w):
+    """Phone numbers and secrets beside the base, by a plain loop over matches."""
+    out = []
+    for kind, pattern in (("phone", pii.PHONES), ("secret", pii.SECRET)):
+        k, last = pii.KINDS.index(kind), 0
+        for m in re.finditer(pattern, t):
+            x, before = m[0], t[last : m.start()][-pii.BEFORE :].lower()
+            last = m.end()
+            digits = len(re.sub("[^0-9]", "", x))
+            if kind == "phone":
+                r, g = x.startswith("+") and 9 <= digits <= 15, bool(re.search(pii.COUNTRY_CODES, x))
+            else:
+                r, g = len(x) in (32, 40, 64) and bool(re.search("[A-Za-z]", x)), bool(re.search("^(?:[0-9a-f]+|[0-9A-F]+)$", x))
+            f = dict(r=r, g=g, c=re.search(pii.CONTEXT[kind], before), q=re.search("[\"'=:]\\s*$", before), k=re.search(pii.NUMBERING, before), l=len(x) > 16, d=2 * digits >= len(x))
+            f |= dict(m=re.search("[a-z]", x) and re.search("[A-Z]", x), s=re.search("[^A-Za-z0-9]", x))
+            z = w[k][0] + sum(v * bool(f[n]) for v, n in zip(w[k][1:], pii.FEATURES)) if k in w else -1
+            if z >= 0 and not (kind == "phone" and r):
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_op2_added_spans_match_brute_force(spark):
+    rng = random.Random(17)
+    secret = lambda: "".join(rng.choice("abcdef0123456789ABXYZ") for _ in range(rng.choice([20, 31, 32, 40, 64])))
+    pieces = ["call ", "tel: ", "order no ", "555-123-4567", "(555) 123 4567", "+1 555 123 4567", "+49 123", "token = ", 'key: "', "commit ", "x ", "\n", ", ", "1.2.3.4 "]
+    texts = ["".join(rng.choice(pieces) if rng.random() < 0.8 else secret() for _ in range(rng.randrange(2, 20))) for _ in range(300)]
+    docs = docs_of(spark, texts)
+    w = pii.fit(docs.select(pii.candidates(docs.text).alias("found")))
+    assert any(added_spans(t, w) for t in texts)
+    for r in pii.report(docs).collect():
+        t = texts[r.doc_id]
+        spans = [tuple(x.split(":")) for x in r.spans.split(",") if x]
+        base = {tuple(x.split(":")) for x in base_spans(t).split(",")}
+        assert [(k, int(a), int(b)) for k, a, b in spans if (k, a, b) not in base] == added_spans(t, w)
+
+
+def test_op2_work_grows_with_the_matches(spark):
+    n = 100_000
+    text = "é\U0001f600".join(f" {i % 256}.{(i >> 8) % 256}.3.4 " for i in range(n))
+    docs = docs_of(spark, [text, "x" * pii.PART + " 1.2.3.4" + "y" * pii.PART, "1.2.3.4"])
+    got = {r.doc_id: r for r in pii.report(docs).collect()}
+    assert got[0].n_ip == n and got[0].base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+    out = {r.doc_id: r.text for r in pii.redacted(docs).collect()}
+    assert out[0] == "é\U0001f600".join([" [IP] "] * n) and out[1] == "x" * pii.PART + " [IP]" + "y" * pii.PART and out[2] == "[IP]"
+
+
+def test_op2_repeated_rows_empty_tables_and_clashing_names(spark):
+    docs = docs_of(spark, ["a@b.com", "a@b.com", None, ""], ids=[1, 1, None, 2]).withColumnRenamed("size", "found").withColumnRenamed("rank", "row")
+    assert sorted(r.n_email for r in pii.report(docs).collect()) == [0, 0, 1, 1]
+    out = pii.redacted(docs)
+    assert out.columns == docs.columns and sorted(map(str, (r.text for r in out.collect()))) == ["", "None", "[EMAIL]", "[EMAIL]"]
+    assert pii.report(docs.where("false")).count() == 0 and pii.redacted(docs.where("false")).count() == 0
+
+
 def test_op2_em_separates_reliable_votes():
     rows = [dict(kind=4, r=1, g=1, c=1, q=1, l=1, n=500), dict(kind=4, r=0, g=0, c=0, q=0, l=1, n=500), dict(kind=4, r=1, g=0, c=0, q=0, l=1, n=20)]
     p = pii.posteriors(rows)

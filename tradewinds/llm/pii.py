@@ -1,12 +1,14 @@
 """Personal data by weak supervision; DataFrame functions only.
 
 Candidates are voted on by labelers (pattern, gazetteer, context). Expectation-maximisation over the counts of vote patterns estimates the labelers'
-reliabilities, and a logistic span classifier is trained on the posteriors. The counts have at most some hundred rows, whatever the input; they alone come to the driver.
+reliabilities, and a logistic span classifier of each kind is trained on the posteriors, over votes, context and shape. The counts have at most
+len(KINDS) * 2**len(FEATURES) rows, whatever the input; they alone come to the driver. Work on a text grows in proportion to it and to its matches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +26,8 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 #: Candidates beyond the base: local phone numbers, and long runs of letters and digits.
-LOCAL_PHONE = r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
+#: The latter never hold a plus sign, with which the base's numbers begin, so one search finds both and takes nothing from the base.
+PHONES = PHONE + r"|(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])"
 SECRET = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}+"
 
 # Gazetteers and context words.
@@ -37,33 +40,57 @@ CONTEXT = {
     "phone": "phone|tel|call|fax|mobile",
     "secret": "token|secret|passw|api|key|credential",
 }
-#: Characters before a span that are its context.
+#: Words before a number that is no personal one.
+NUMBERING = r"\b(no|number|id|ref|order|version|isbn|page|commit|sha|hash|md5|uuid|build|revision)\b"
+#: Characters before a span, back to the match before it, that are its context.
 BEFORE = 24
+#: Matches whose places are summed at once; characters of the parts that a text is cut into to take out pieces of it.
+CHUNK, PART = 256, 4096
 
-SPAN = "struct<start:int,end:int,s:string>"
+SPAN = "struct<start:int,end:int,s:string,before:string>"
 
 
-def found(text: Column, pattern: str, when: Column | None = None) -> Column:
-    """Matches of `pattern` in `text`, leftmost and without overlap: start, end (code points, end exclusive) and the string.
+def running(x: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of a non-empty array of ints by an associative `op` with 0 as its start.
 
-    The pattern splits the text into the gaps between its matches; places are running sums of both. The text is split only where there is a match.
+    An array grows by copying, so totals are taken within chunks of CHUNK and over the chunks: some n * CHUNK steps, not n squared.
+    """
+    zero, none = F.lit(0), F.array().cast("array<int>")
+
+    def totals(values: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), none.alias("out"))
+        return F.aggregate(values, start, lambda acc, v: let(op(acc["at"], v), lambda t: F.struct(t.alias("at"), F.concat(acc["out"], F.array(t)).alias("out"))), lambda acc: acc["out"])
+
+    def chunked(a: Column) -> Column:
+        chunks = F.transform(F.sequence(zero, ((F.size(a) - 1) / CHUNK).cast("int")), lambda c: F.slice(a, c * CHUNK + 1, CHUNK))
+
+        def joined(cs: Column) -> Column:
+            before = F.concat(F.array(zero), totals(F.transform(cs, lambda c: F.aggregate(c, zero, op)), zero))
+            return let(before, lambda b: F.flatten(F.transform(cs, lambda c, i: totals(c, F.get(b, i)))))
+
+        return let(chunks, joined)
+
+    return let(x, lambda a: F.when(F.size(a) <= CHUNK, totals(a, zero)).otherwise(chunked(a)))
+
+
+def found(text: Column, pattern: str, when: Column) -> Column:
+    """Matches of `pattern` in `text`, leftmost and without overlap: start, end (code points, end exclusive), the string and what stands before it.
+
+    The pattern splits the text into the gaps between its matches; places are running sums of both. The text is searched only `when`, and split only
+    where there is a match.
     """
     none = F.array().cast(f"array<{SPAN}>")
 
     def placed(hits: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        pairs = F.filter(F.zip_with(hits, gaps, lambda m, g: F.struct(F.length(g).alias("g"), m.alias("m"))), lambda p: p["m"].isNotNull())
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        def spans(gaps: Column) -> Column:
+            ends = running(F.transform(hits, lambda m, i: F.length(m) + F.length(F.get(gaps, i))), lambda a, b: a + b)
+            one = lambda e: lambda m, i: F.struct((F.get(e, i) - F.length(m)).alias("start"), F.get(e, i).alias("end"), m.alias("s"), F.right(F.get(gaps, i), F.lit(BEFORE)).alias("before"))
+            return let(ends, lambda e: F.transform(hits, one(e)))
 
-        def step(acc: Column, p: Column) -> Column:
-            a = acc["at"] + p["g"]
-            b = a + F.length(p["m"])
-            return F.struct(b.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), b.alias("end"), p["m"].alias("s")))).alias("out"))
-
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        return let(F.split(text, pattern, -1), spans)
 
     hits = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(F.size(m) == 0, none).otherwise(placed(m)))
-    return hits if when is None else F.when(when, hits).otherwise(none)
+    return F.when(when, hits).otherwise(none)
 
 
 def luhn(s: Column) -> Column:
@@ -106,37 +133,34 @@ def _listed(kind: str, s: Column) -> Column:
     return s.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
 
 
+VOTES = ("r", "g", "c")
+FEATURES = (*VOTES, "q", "k", "l", "d", "m", "s")
+
+
 def candidates(text: Column) -> Column:
-    """All candidates of a text, by kind as in KINDS and start: kind (its index), start, end, base, and the votes and features (0 or 1) r, g, c, q, l.
+    """All candidates of a text, by kind as in KINDS and start: kind (its index), start, end, base, and the votes and features (0 or 1).
 
-    r, g, c: pattern, gazetteer and context labelers. q: a quote, colon or equals sign stands before. l: longer than 16 characters.
+    r, g, c: pattern, gazetteer and context labelers. Context: q, a quote, colon or equals sign stands before; k, a word of numbering does. Shape: l, longer than
+    16 characters; d, half of them digits or more; m, capital and small letters; s, separators.
     """
     digit = text.rlike("[0-9]")
-    spans = {
-        "email": [found(text, EMAIL, F.contains(text, F.lit("@")))],
-        "ip": [found(text, IP, digit)],
-        "card": [found(text, CARD, digit)],
-        "phone": [found(text, PHONE, F.contains(text, F.lit("+"))), found(text, LOCAL_PHONE, digit)],
-        "secret": [found(text, SECRET, digit)],
-    }
+    spans = [found(text, EMAIL, F.contains(text, F.lit("@"))), found(text, IP, digit), found(text, CARD, digit), found(text, PHONES, digit), found(text, SECRET, digit)]
     flag = lambda x, name: F.coalesce(x.cast("int"), F.lit(0)).alias(name)
 
     def judged(k: int, kind: str, array: Column) -> Column:
         def one(x: Column) -> Column:
-            s = x["s"]
-            before = F.substring(text, F.greatest(x["start"] - BEFORE + 1, F.lit(1)), F.least(F.lit(BEFORE), x["start"]))
+            s, before = x["s"], F.lower(x["before"])
             passes = _passes(kind, s)
+            digits = F.length(F.regexp_replace(s, "[^0-9]", ""))
+            shape = [flag(F.length(s) > 16, "l"), flag(digits * 2 >= F.length(s), "d"), flag(s.rlike("[a-z]") & s.rlike("[A-Z]"), "m"), flag(s.rlike("[^A-Za-z0-9]"), "s")]
             return F.struct(
                 F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.coalesce(passes & F.lit(kind != "secret"), F.lit(False)).alias("base"),
-                flag(passes, "r"), flag(_listed(kind, s), "g"), flag(F.lower(before).rlike(CONTEXT[kind]), "c"), flag(before.rlike("[\"'=:]\\s*$"), "q"), flag(F.length(s) > 16, "l"),
+                flag(passes, "r"), flag(_listed(kind, s), "g"), flag(before.rlike(CONTEXT[kind]), "c"), flag(before.rlike("[\"'=:]\\s*$"), "q"), flag(before.rlike(NUMBERING), "k"), *shape,
             )
 
         return F.transform(array, one)
 
-    return F.concat(*[judged(k, kind, a) for k, kind in enumerate(KINDS) for a in spans[kind]])
-
-
-VOTES, FEATURES = ("r", "g", "c"), ("r", "g", "c", "q", "l")
+    return F.concat(*[judged(k, kind, a) for k, (kind, a) in enumerate(zip(KINDS, spans))])
 
 
 def vote_counts(spans: DataFrame) -> list:
@@ -169,48 +193,45 @@ def posteriors(rows: list, rounds: int = 60) -> list[float]:
     return out
 
 
-def _inputs(kind, value) -> list:
-    """1, the kind's indicator and the features, as the classifier reads them; works for rows and for columns."""
-    return [kind == k for k in range(len(KINDS))] + [value(f) for f in FEATURES]
-
-
-def train(rows: list, labels: list[float], steps: int = 400, rate: float = 0.5, l2: float = 1e-3) -> list[float]:
-    """Logistic regression of the posteriors on kind and features, each pattern weighed by the logarithm of its count."""
-    xs = [[float(x) for x in _inputs(r["kind"], lambda f, r=r: r[f])] for r in rows]
-    ns = [math.log1p(r["n"]) for r in rows]
-    total = sum(ns) or 1.0
-    w = [0.0] * (len(KINDS) + len(FEATURES))
-    for _ in range(steps):
-        g = [l2 * v for v in w]
-        for x, y, n in zip(xs, labels, ns):
-            p = 1 / (1 + math.exp(-max(-40.0, min(40.0, sum(a * b for a, b in zip(w, x))))))
-            for j, v in enumerate(x):
-                if v:
-                    g[j] += n / total * (p - y)
-        w = [a - rate * b for a, b in zip(w, g)]
-    return w
+def train(rows: list, labels: list[float], steps: int = 400, rate: float = 1.0, l2: float = 1e-3) -> dict[int, list[float]]:
+    """For each kind a logistic regression of the posteriors on a constant and the features: the mean loss over all spans of the kind."""
+    out = {}
+    for kind in sorted({r["kind"] for r in rows}):
+        own = [([1.0, *(float(r[f]) for f in FEATURES)], y, r["n"]) for r, y in zip(rows, labels) if r["kind"] == kind]
+        total = sum(n for _, _, n in own)
+        w = [0.0] * (1 + len(FEATURES))
+        for _ in range(steps):
+            g = [l2 * v for v in w]
+            for x, y, n in own:
+                p = 1 / (1 + math.exp(-max(-40.0, min(40.0, sum(a * b for a, b in zip(w, x))))))
+                for j, v in enumerate(x):
+                    if v:
+                        g[j] += n / total * (p - y)
+            w = [a - rate * b for a, b in zip(w, g)]
+        out[kind] = w
+    return out
 
 
-def fit(spans: DataFrame) -> list[float]:
+def fit(spans: DataFrame) -> dict[int, list[float]]:
     rows = vote_counts(spans)
     return train(rows, posteriors(rows))
 
 
-def chosen(array: Column, w: list[float]) -> Column:
-    """Base spans, and those that the classifier gives 0.5 or more and that no base span of their kind overlaps; by kind, then start."""
+def chosen(array: Column, w: dict[int, list[float]]) -> Column:
+    """Base spans, and phone numbers and secrets that the classifier gives 0.5 or more; by kind, then start.
 
-    def kept(all_: Column) -> Column:
-        base = F.filter(all_, lambda x: x["base"])
-
-        def keep(x: Column) -> Column:
-            z = sum((F.lit(w[k]) * (x["kind"] == k).cast("double") for k in range(len(KINDS))), F.lit(0.0))
-            z = sum((F.lit(w[len(KINDS) + j]) * x[f] for j, f in enumerate(FEATURES)), z)
-            valid = ~x["kind"].isin(KINDS.index("ip"), KINDS.index("card"))  # a number that fails its range or checksum is none
-            return x["base"] | (valid & (z >= 0) & ~F.exists(base, lambda b: (b["kind"] == x["kind"]) & (b["start"] < x["end"]) & (x["start"] < b["end"])))
+    Base spans of a kind never overlap others of it, as one search finds both. An address or card number that fails its range or checksum is none.
+    """
 
-        return F.array_sort(F.transform(F.filter(all_, keep), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base"))))
+    def keep(x: Column) -> Column:
+        more = F.lit(False)
+        for kind in (KINDS.index("phone"), KINDS.index("secret")):
+            if kind in w:
+                z = sum((F.lit(v) * x[f] for v, f in zip(w[kind][1:], FEATURES)), F.lit(w[kind][0]))
+                more = more | ((x["kind"] == kind) & (z >= 0))
+        return x["base"] | more
 
-    return let(array, kept)
+    return F.transform(F.filter(array, keep), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["base"].alias("base")))
 
 
 def written(array: Column) -> Column:
@@ -235,25 +256,38 @@ def report(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", *counts, F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with each span, or run of overlapping spans, replaced by its (first) kind in brackets; n_chars, where there is one, follows the text.
+def piece(parts: Column, a: Column, b: Column) -> Column:
+    """Code points a (included) to b of a text that is cut into parts of PART."""
+    i, j = (a / PART).cast("int"), (b / PART).cast("int")
+    head = lambda n: F.coalesce(F.substring(F.get(parts, i), a - i * PART + 1, n), F.lit(""))
+    tail = F.coalesce(F.substring(F.get(parts, j), F.lit(1), b - j * PART), F.lit(""))
+    return F.when(i == j, head(b - a)).otherwise(F.concat(head(F.lit(PART)), F.array_join(F.slice(parts, i + 2, j - i - 1), ""), tail))
 
-    The model is fitted first; texts are searched again as they are written. Null texts stay null.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    w = fit(docs.select(candidates(text).alias("found")))
+
+def replaced(text: Column, spans: Column) -> Column:
+    """The text with each span, or run of overlapping spans, replaced by its (first) kind in brackets."""
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
 
-    def replaced(spans: Column) -> Column:
-        order = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    def built(xs: Column, ends: Column, parts: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        one = lambda x, i: F.when((i == 0) | (x["start"] >= before(i)), F.concat(piece(parts, before(i), x["start"]), F.element_at(tags, x["kind"] + 1))).otherwise("")
+        return F.concat(F.array_join(F.transform(xs, one), ""), piece(parts, F.element_at(ends, -1), F.length(text)))
 
-        def step(acc: Column, x: Column) -> Column:
-            out = F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(tags, x["kind"] + 1))).otherwise(acc["out"])
-            return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
+    ends = lambda xs: running(F.transform(xs, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    parts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    return let(order, lambda xs: let(ends(xs), lambda e: let(parts, lambda p: built(xs, e, p))))
 
-        return F.aggregate(order, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
-    new = let(chosen(candidates(text), w), lambda s: F.when(F.size(s) == 0, F.col("text")).otherwise(replaced(s)))
-    out = docs.withColumn("text", new)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+def redacted(docs: DataFrame) -> DataFrame:
+    """The documents with each span, or run of overlapping spans, replaced by its (first) kind in brackets; n_chars, where there is one, follows the text.
+
+    Each text is searched once: rows and their candidates are written, the model is fitted to the candidates and the texts are rewritten. Null texts stay
+    null, empty ones empty; equal rows are treated each; an empty table gives an empty one.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = materialise(docs.select(row, candidates(F.coalesce(docs["text"], F.lit(""))).alias("found")))
+    text = F.col("row.text")
+    new = let(chosen(F.col("found"), fit(rows)), lambda s: F.when(F.size(s) == 0, text).otherwise(replaced(text, s)))
+    parts = {"text": F.col("_new")} | ({"n_chars": F.length("_new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select("row", new.alias("_new")).select(*[parts[c].alias(c) if c in parts else F.col("row")[c].alias(c) for c in docs.columns])
