@@ -73,7 +73,8 @@ def host_rates(rows: DataFrame) -> DataFrame:
     """Hosts with their failing documents shrunk by a beta prior, which the method of moments fits to all hosts' rates, each weighed by its documents.
 
     Of a variance that sampling alone explains, the prior is PRIOR_MOST documents strong, and every host has about the common rate.
-    Returns source, n, failed, rate (double). The moments are one row; hosts are joined by null-safe equality.
+    Returns source, n, failed, rate (double). The moments are one row, the only thing that is broadcast. Rows join their hosts by a shuffle that splits a hot
+    host, or by a broadcast where Spark finds the hosts small.
     """
     hosts = rows.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("rule_failed").cast("long")).alias("failed"))
     total = hosts.agg(F.sum("n").alias("N"), F.sum("failed").alias("K"), F.count("*").alias("H"), F.sum(F.col("n").cast("double") * F.col("n")).alias("N2"), F.sum(F.col("failed").cast("double") * F.col("failed") / F.col("n")).alias("S"))

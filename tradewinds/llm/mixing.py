@@ -11,6 +11,8 @@ from tradewinds.llm._text import WORD
 
 #: Strata of a source's documents: octaves of the size cut in STEPS, each dealt out to SALTS parts by the id.
 STEPS, SALTS = 8, 256
+#: The strata's table is broadcast if it has been counted and has at most so many rows (some 60 bytes each); else rows are joined by shuffle.
+MOST_BROADCAST = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -22,6 +24,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
     `sizes` has one row a source: source, source_size (long). Sources by code point, null last, weigh `weights`, repeating. They share the
     sum of all sizes by weight; a target stops at `most` times its source's size, and the excess is shared again by weight until none is above.
+    Ranking all sources is one task's work over a row of some 50 bytes each.
     The fixed point is min(most * size, weight * level); the level follows from sorting the sources by most * size / weight.
     Returns source, source_size, target (double). No rows for no sources; a source of size 0 has target 0.
     """
@@ -61,19 +64,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     The counts are written once and read for the targets and the prefixes. `row` holds the columns `carry` names beside doc_id and source, all by default.
 
     Returns struct `row` (columns of `docs`), size, source_size, target, copies (long). Rows with null text or source take part (size 0; a
-    source of its own, last); equal rows are each counted; rows with null ids stand in one part; an empty table gives an empty one.
+    source of its own, last); equal rows are each counted; rows with null ids are dealt out by text; an empty table gives an empty one.
     """
-    id_ = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(0))
+    id_ = F.coalesce(F.col("row.doc_id").cast("long"), F.col("text_hash"))
     part = F.pmod(F.pmod(id_, F.lit(1000003)) * 7919, F.lit(SALTS))
     kept = docs.columns if carry is None else ["doc_id", "source", *carry]
     sized = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"), n_words(docs["text"]).alias("size"), F.xxhash64(docs["text"]).alias("text_hash"))
     sized = sized.select("row", "size", "text_hash", F.col("row.source").alias("source"), F.floor(F.log2(F.col("size") + 1) * STEPS).cast("int").alias("octave"), part.cast("int").alias("part"))
-    counts = materialise(sized.groupBy("source", "octave", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("octave", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    strata = materialise(sized.groupBy("source", "octave", "part").agg(F.count("*").alias("n"), F.sum("size").alias("words")))
+    counts = strata.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("octave", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     targets = source_targets(counts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     keyed = counts.alias("c").join(targets.alias("t"), F.expr("c.source <=> t.source")).select(
         F.col("c.source").alias("_s"), F.col("c.octave").alias("_o"), F.col("c.part").alias("_p"), "before", "source_size", "target",
     )
+    keyed = F.broadcast(keyed) if strata.count() <= MOST_BROADCAST else keyed
     rank = F.row_number().over(W.partitionBy("source", "octave", "part").orderBy("row.doc_id", "size", "text_hash"))
     placed = sized.withColumn("rank", rank).join(keyed, F.expr("source <=> _s and octave = _o and part = _p"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
