@@ -315,6 +315,68 @@ def test_op4_op7_without_labels(spark):
     assert quality.report(docs_of(spark, []), none).count() == 0
 
 
+def slopes(f, w, e=1e-6):
+    return np.array([(f(w + e * d) - f(w - e * d)) / (2 * e) for d in np.eye(len(w))])
+
+
+def test_op4_risk_by_brute_force():
+    rng = np.random.default_rng(18)
+    p, u, prior = rng.standard_normal((30, 4)) + 1, rng.standard_normal((50, 4)), 0.4
+    loss = lambda z: np.log(1 + np.exp(-z))
+    z = lambda w, x: np.array([w[0] + sum(a * b for a, b in zip(w[1:], r)) for r in x])
+    rest = lambda w: loss(-z(w, u)).mean() - prior * loss(-z(w, p)).mean()
+    for w in (np.zeros(5), np.array([-9.0, 0.5, 0, 0, 0]), np.array([-4.0, 3, 3, 3, 3])):
+        want = slopes(lambda v: prior * loss(z(v, p)).mean() + rest(v), w) if rest(w) >= 0 else -slopes(rest, w)
+        assert np.allclose(quality.risk_gradient(w, p, u, prior), want, atol=1e-5)
+    assert {rest(np.array([-4.0, 3, 3, 3, 3])) >= 0, rest(np.zeros(5)) >= 0} == {True, False}
+    s = lambda v: 1 / (1 + np.exp(-v))
+    model = {"w": np.array([1.0, 0, 0, 0]), "b": 0.0, "prior": prior}
+    assert quality.risk(model, p, u) == pytest.approx(prior * s(-p[:, 0]).mean() + max(0, s(u[:, 0]).mean() - prior * s(p[:, 0]).mean()))
+
+
+def test_op4_estimates_the_class_prior():
+    rng = np.random.default_rng(19)
+    for prior in (0.3, 0.85):
+        n = rng.random(20000) < prior
+        found = quality.class_prior(rng.normal(2, 1, 8000), np.where(n, rng.normal(2, 1, 20000), rng.normal(-2, 1, 20000)))
+        assert abs(found - prior) < 0.04
+
+
+def test_op7_noisy_or_by_brute_force():
+    rng = np.random.default_rng(20)
+    sentences = [[rng.choice(6, rng.integers(0, 4), replace=False).tolist() for _ in range(rng.integers(0, 5))] for _ in range(25)]
+    raw = [np.array([x for s in d if s for x in [*s, toxicity._END]], np.uint32) for d in sentences]
+    plain = np.array([sum(not s for s in d) for d in sentences])
+    y = np.array([int(rng.random() < 0.5 and len(d) > 0) for d in sentences])
+    keep = np.array([True, True, False, True, True, True])
+    bags = toxicity.Bags(raw, plain, keep)
+
+    def loss(w):
+        v = np.insert(w[1:], 2, 0)
+        total = 0.0
+        for d, label in zip(sentences, y):
+            clean = np.prod([1 - 1 / (1 + np.exp(-(w[0] + sum(v[k] for k in s)))) for s in d])
+            total -= np.log(1 - clean if label else max(clean, 1e-300))
+        return total / len(y)
+
+    w = rng.standard_normal(6)
+    assert bags.loss(w, y) == pytest.approx(loss(w), abs=1e-9) and np.allclose(bags.gradient(w, y), slopes(loss, w), atol=1e-5)
+
+
+def test_op4_op7_op9_op6_repeated_rows_and_empty_tables(spark):
+    ys = [k % 2 == 0 for k in range(200)]
+    docs = docs_of(spark, [f"good text number {k}. Fine words" if y else f"$$ ## vileword {k}" for k, y in enumerate(ys)] * 2, ids=[*range(200), *range(200)])
+    for op, column in ((quality, "quality"), (toxicity, "toxic")):
+        labels = labelled_rows(spark, ys, column)
+        got = op.report(docs, labels).collect()
+        assert len(got) == 400 and len({(r.doc_id, r.score) for r in got}) == 200
+        assert op.report(docs.where("false"), labels).count() == 0 and op.report(docs, labels.where("false")).count() == 400
+    assert toxicity.keep_clean(docs, None).count() == 400
+    path = tokencount.default_path()
+    assert tokencount.count_tokens(docs, path).count() == 400 and tokencount.count_tokens(docs.where("false"), path).count() == 0
+    assert hostrules.apply_rules(docs).count() == 400 and hostrules.apply_rules(docs.where("false")).count() == 0
+
+
 def test_op5_matches_targets_and_rules(spark):
     rng = random.Random(7)
     texts = [prose(rng, rng.randrange(1, 60)) for _ in range(3000)] + ODD

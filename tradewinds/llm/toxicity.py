@@ -14,8 +14,10 @@ from tradewinds.llm._io import crc_mod, materialise, release
 from tradewinds.llm._learn import Adam, bounded, labelled, sigmoid, texts_of
 from tradewinds.llm._text import Cache
 
-#: Bound of the labelled documents that the model is fitted to, of the features that it weighs, and the tasks that count features.
-MOST_LABELLED, MOST_FEATURES, TASKS = 16_000, 512, 6
+#: Bound of the labelled documents that the model is fitted to, one row an id.
+MOST_LABELLED = 16_000
+#: What a validation part of them, a share of 1 / PARTS, decides among: whether beginnings of words are features, and how many features there are.
+SETTINGS, PARTS = ((False, 512), (False, 2048), (True, 512), (True, 2048)), 5
 BITS = 22
 #: A word's features are the word itself and its first letters, so many of them.
 PREFIXES = range(3, 9)
@@ -28,8 +30,9 @@ _END = 0xFFFFFFFF
 
 
 def buckets(word: str) -> tuple[int, ...]:
-    parts = [word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
-    return tuple(xxhash.xxh3_64_intdigest(x) >> (64 - BITS) for x in parts)
+    """Hashes of the word (even) and of its beginnings (odd)."""
+    place = lambda x: (xxhash.xxh3_64_intdigest(x) >> (64 - BITS)) & ~1
+    return (place(word), *(place("^" + word[:k]) | 1 for k in PREFIXES if len(word) >= k))
 
 
 def _counts(batches):
@@ -44,8 +47,8 @@ def _counts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[0][at]), pa.array(df[1][at])], ["at", "n0", "n1"])
 
 
-def choose(sample: DataFrame) -> list[int]:
-    """The MOST_FEATURES features with the largest one-sided chi-square of their documents against the label."""
+def choose(sample: DataFrame, most: int) -> list[int]:
+    """For words and for beginnings the `most` features with the largest one-sided chi-square of their documents against the label, by that."""
     totals = sample.agg(F.sum((F.col("label") == 1).cast("long")).alias("p"), F.count("*").alias("n")).first()
     if not totals["p"]:
         return []
@@ -53,73 +56,107 @@ def choose(sample: DataFrame) -> list[int]:
     n = F.col("n0") + F.col("n1")
     expected = n * (totals["p"] / totals["n"])
     gain = (F.col("n1") - expected) * (F.col("n1") - expected) / expected
-    ranked = counts.where((n >= LEAST_DOCS) & (F.col("n1") > expected) & (gain > LEAST_GAIN)).orderBy(gain.desc(), "at").limit(MOST_FEATURES)
-    return sorted(r["at"] for r in ranked.select("at").collect())
+    ranked = counts.where((n >= LEAST_DOCS) & (F.col("n1") > expected) & (gain > LEAST_GAIN)).select("at", gain.alias("gain"))
+    best = [r for odd in (0, 1) for r in ranked.where(F.col("at") % 2 == odd).orderBy(F.col("gain").desc(), "at").limit(most).collect()]
+    return [r["at"] for r in sorted(best, key=lambda r: (-r["gain"], r["at"]))]
 
 
 def _bags(chosen: list[int]):
-    """For each text the chosen features of its sentences: slots, each sentence with words ended by _END."""
+    """For each text the chosen features of its sentences: slots, each sentence that has any ended by _END, and the number of its other sentences with words."""
     slot = {b: k for k, b in enumerate(chosen)}
 
     def run(batches):
         cache = Cache(lambda w: [slot[b] for b in buckets(w) if b in slot])
         for batch in batches:
-            out = []
+            out, plain = [], []
             for text in batch.column("text").to_pylist():
-                ids = []
+                ids, n = [], 0
                 for s in SENTENCE.findall((text or "").lower()):
                     ws = LETTERS.findall(s)
-                    if ws:
-                        ids.extend({k for w in ws for k in cache[w]})
+                    if here := {k for w in ws for k in cache[w]}:
+                        ids.extend(here)
                         ids.append(_END)
+                    else:
+                        n += bool(ws)
                 out.append(np.array(ids, np.uint32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(out, pa.binary())], ["label", "x"])
+                plain.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(out, pa.binary()), pa.array(plain, pa.int64())], ["id", "label", "x", "plain"])
 
     return run
 
 
-def fit_mil(bags: list[np.ndarray], y: np.ndarray, chosen: list[int], steps: int = 300, rate: float = 0.1, l2: float = 2e-5) -> dict:
-    """Weights of the chosen features and a bias, by the likelihood of P(doc) = 1 - prod(1 - sigmoid(z of a sentence))."""
-    sent, word, doc_of = [], [], []
-    plain = np.zeros(len(y))
-    n = 0
-    for d, ids in enumerate(bags):
-        for part in np.split(ids, np.flatnonzero(ids == _END) + 1)[:-1]:
-            k = part[:-1].astype(np.int64)
-            if len(k):
-                sent.append(np.full(len(k), n))
-                word.append(k)
-                doc_of.append(d)
-                n += 1
-            else:
-                plain[d] += 1
-    sent = np.concatenate(sent) if sent else np.empty(0, int)
-    word = np.concatenate(word) if word else np.empty(0, int)
-    doc_of = np.array(doc_of, int)
-    w, opt = np.zeros(len(chosen) + 1), Adam(len(chosen) + 1, rate)
+class Bags:
+    """Documents as sentences of features: `word` k of `sent`ence, `doc` of a sentence, and each document's `plain` sentences, which have none of the features."""
+
+    def __init__(self, bags: list[np.ndarray], plain: np.ndarray, keep: np.ndarray):
+        ids = np.concatenate([*bags, np.empty(0, np.uint32)])
+        doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+        end = ids == _END
+        sent = np.cumsum(end) - end
+        place = np.cumsum(keep) - 1
+        on = ~end
+        on[on] = keep[ids[on]]
+        some, self.sent = np.unique(sent[on], return_inverse=True)
+        self.word, self.doc = place[ids[on]], doc[end][some]
+        self.n, self.m, self.k = len(bags), len(some), int(keep.sum())
+        self.plain = plain + np.bincount(doc[end], minlength=self.n) - np.bincount(self.doc, minlength=self.n)
+
+    def clean(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """z of each sentence, and -log P(no sentence is toxic) of each document."""
+        z = np.bincount(self.sent, w[1 + self.word], self.m) + w[0]
+        return z, np.maximum(np.bincount(self.doc, np.logaddexp(0, z), self.n) + self.plain * np.logaddexp(0, w[0]), 1e-12)
+
+    def loss(self, w: np.ndarray, y: np.ndarray) -> float:
+        """Mean negative log likelihood of P(doc) = 1 - prod(1 - sigmoid(z of a sentence))."""
+        a = self.clean(w)[1]
+        return float(np.where(y == 1, -np.log(-np.expm1(-a)), a).mean())
+
+    def gradient(self, w: np.ndarray, y: np.ndarray) -> np.ndarray:
+        z, a = self.clean(w)
+        slope = np.where(y == 1, -1 / np.expm1(np.minimum(a, 40)), 1.0) / self.n
+        dz = slope[self.doc] * sigmoid(z)
+        return np.concatenate([[dz.sum() + (slope * self.plain).sum() * sigmoid(w[0])], np.bincount(self.word, dz[self.sent], self.k)])
+
+
+def fit_mil(bags: Bags, y: np.ndarray, steps: int = 300, rate: float = 0.1, l2: float = 2e-5) -> np.ndarray:
+    """A bias and the features' weights, by the likelihood of the documents."""
+    w, opt = np.zeros(bags.k + 1), Adam(bags.k + 1, rate)
     w[0] = -6.0
     for _ in range(steps):
-        z = np.bincount(sent, w[1 + word], n) + w[0]
-        a = np.bincount(doc_of, np.logaddexp(0, z), len(y)) + plain * np.logaddexp(0, w[0])
-        a = np.maximum(a, 1e-12)
-        slope = np.where(y == 1, -1 / np.expm1(np.minimum(a, 40)), 1.0) / len(y)
-        dz = slope[doc_of] * sigmoid(z)
-        g0 = dz.sum() + (slope * plain).sum() * sigmoid(w[0])
-        w = opt.step(w, np.concatenate([[g0], np.bincount(word, dz[sent], len(chosen)) + l2 * w[1:]]))
-    return {"bias": float(w[0]), "weights": {int(b): float(v) for b, v in zip(chosen, w[1:]) if abs(v) > 1e-3}}
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
-    """Model from a bounded sample of labelled documents whose crc32 modulo 5 is not 0; None without both labels."""
-    ids = bounded(labelled(labels, "toxic", 5, 0), MOST_LABELLED)
-    sample = materialise(texts_of(docs, ids).select("label", "text").repartition(TASKS))
-    chosen = choose(sample)
-    rows = sample.mapInArrow(_bags(chosen), "label int, x binary").toPandas()
+        w = opt.step(w, bags.gradient(w, y) + l2 * np.concatenate([[0], w[1:]]))
+    return w
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict | None:
+    """Model from at most `most` labelled documents whose crc32 modulo 5 is not 0; None without both labels.
+
+    Features are ranked on the training part, the setting is the one likeliest on the validation part, and the weights are of all rows.
+    """
+    sample = materialise(texts_of(docs, bounded(labelled(labels, "toxic", 5, 0), most)))
+    part = F.pmod(F.xxhash64("id", F.lit("part")), F.lit(PARTS))
+    chosen = choose(sample.where(part != 0), max(n for _, n in SETTINGS))
+    rows = sample.mapInArrow(_bags(chosen), "id long, label int, x binary, plain long").withColumn("part", part).toPandas().sort_values("id").reset_index(drop=True)
     release(sample)
     y = (rows["label"].to_numpy() == 1).astype(int) if len(rows) else np.empty(0, int)
-    if not y.any() or y.all():
+    train = rows["part"].to_numpy() != 0
+    if not y[train].any() or y[train].all():
         return None
-    return fit_mil([np.frombuffer(x, np.uint32) for x in rows["x"]], y, chosen)
+    raw, plain = [np.frombuffer(x, np.uint32) for x in rows["x"]], rows["plain"].to_numpy()
+    odd = np.array(chosen, np.int64) % 2 == 1
+
+    def kept(setting: tuple[bool, int]) -> np.ndarray:
+        able = ~odd | setting[0]
+        return able & (np.cumsum(able) <= setting[1])
+
+    def some(rows_: np.ndarray, keep: np.ndarray) -> Bags:
+        return Bags([x for x, on in zip(raw, rows_) if on], plain[rows_], keep)
+
+    held = ~train if (~train).any() else train
+    best = min(SETTINGS, key=lambda s: some(held, kept(s)).loss(fit_mil(some(train, kept(s)), y[train]), y[held]))
+    keep = kept(best)
+    w = fit_mil(some(np.ones(len(y), bool), keep), y)
+    weighed = [(int(b), float(v)) for b, v in zip(np.array(chosen, np.int64)[keep], w[1:]) if abs(v) > 1e-3]
+    return {"bias": float(w[0]), "weights": dict(weighed), "setting": best}
 
 
 def hits(model: dict | None) -> Cache:
@@ -157,7 +194,8 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_offendin
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
     """Every whole text's probability, verdict and offending sentences as start:end, comma-joined.
 
-    Empty and null texts have no sentence and score 0; without a model every score is 0.
+    Empty and null texts have no sentence and score 0; without a model every score is 0. Rows with null ids are not held out; equal rows score the same; an
+    empty table gives an empty one.
     """
     rows = docs.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False)).alias("held_out"), "text")
 
@@ -176,7 +214,7 @@ def score(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: dict | None) -> DataFrame:
-    """The documents below 0.5, with the columns of `docs`."""
+    """The documents below 0.5, with the columns of `docs`; null and empty texts stay, of equal rows all or none."""
     schema = docs.schema
 
     def clean(batches):
