@@ -352,17 +352,19 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
     class_id only where all ids of the class or group are null; equal rows are one text; an empty table gives an empty one; other columns are not read.
     """
     rows = materialise(signed(docs, n, trees, deepest))
-    texts = rows.groupBy("node", "text_hash").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    totals = [F.min("doc_id").alias("copy_id"), F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("text_hash").alias("_h"), F.min_by("doc_id", "text_hash").alias("_d")]
+    texts = rows.groupBy("node", "text_hash", "doc_id").agg(F.count("*").alias("n")).groupBy("node", "text_hash")
+    texts = texts.agg(F.sum("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min_by("n", "doc_id").alias("same"))
+    totals = [F.min("doc_id").alias("copy_id"), F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("text_hash").alias("_h"), F.min_by("doc_id", "text_hash").alias("_d"), F.min_by("same", "text_hash").alias("_same")]
     classes = materialise(texts.groupBy("node").agg(*totals))
     signs = materialise(rows.groupBy("node").agg(F.first("size").alias("size"), F.first("labels").alias("labels"), F.first("low").alias("low")))
     edges = candidate_edges(signs, threshold, trees, deepest)
     found = components(edges)
     release(edges)
-    wanted = materialise(classes.join(found, "node").join(signs.select("node", "size"), "node").select("node", "root", "size", "texts", "_d", "_h"))
+    wanted = materialise(classes.join(found, "node").join(signs.select("node", "size"), "node").select("node", "root", "size", "texts", "_d", "_h", "_same"))
     release(found)
     release(signs)
-    read = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text").join(wanted, F.expr("doc_id <=> _d and text_hash = _h"))
+    read = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    of = lambda some: read.join(some, F.expr("doc_id <=> _d and text_hash = _h")).select("root", "node", "size", "texts", "text")
 
     def shingled(batches):
         cache = word_cache()
@@ -370,7 +372,8 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, t
             s = [shingles(t, cache, n).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("root", "node", "size", "texts")], pa.array(s, pa.binary())], ["root", "node", "size", "texts", "shingles"])
 
-    once = read.select("root", "node", "size", "texts", "text").dropDuplicates(["node"])
+    # merged at every size of the input; rows that are repeated as they stand are few or equal, and are gathered first
+    once = of(wanted.where("_same = 1").hint("merge")).unionByName(of(wanted.where("_same is null or _same > 1")).dropDuplicates(["node"]))
     members = materialise(once.mapInArrow(shingled, "root long, node long, size long, texts long, shingles binary"))
     true = materialise(links(members, threshold))
     release(members)
