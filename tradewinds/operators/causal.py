@@ -15,7 +15,7 @@ from tradewinds.operators.panel import goods, total
 
 def product_groups(products: DataFrame, annex: DataFrame, excluded: list[str]) -> DataFrame:
     """excluded over exempt (wholly) over partly exempt (in the annex) over taxed. annex: product, complete."""
-    rows = products.join(F.broadcast(annex.select("product", "complete")), "product", "left")
+    rows = products.join(annex.select("product", "complete"), "product", "left")
     group = F.when(F.col("product").isin(excluded), "excluded").when(F.col("complete"), "exempt").when(F.col("complete").isNotNull(), "partly_exempt").otherwise("taxed")
     return rows.select("product", group.alias("group"))
 
@@ -32,7 +32,7 @@ def balanced(panel: DataFrame, treatment: int) -> DataFrame:
 def sample(rows: DataFrame, groups: DataFrame, kept: list[str], treated: str, end: int) -> DataFrame:
     """Months up to `end`, products of the groups that are sold to the treated partner at all, flags and fixed-effect keys."""
     sold = rows.where(F.col("partner") == treated).select("product").distinct()
-    out = rows.where(F.col("t") <= end).join(F.broadcast(groups.where(F.col("group").isin(kept))), "product").join(sold, "product", "left_semi")
+    out = rows.where(F.col("t") <= end).join(groups.where(F.col("group").isin(kept)), "product").join(sold, "product", "left_semi")
     here, post = F.col("partner") == treated, F.col("rel") >= 0
     return out.select("*", here.alias("at_treated"), post.alias("post"), (here & post & (F.col("group") == "taxed")).alias("treated"), F.concat_ws("_", "product", "partner").alias("pair"), F.concat_ws("_", "product", "t").alias("product_month"))
 

@@ -24,7 +24,7 @@ def psi(long: DataFrame, by: list[str], bins: int = 10, eps: float = 1e-4) -> Da
     last = F.element_at("e", -1)
     edges = edges.select(*by, inner.alias("inner"), last.alias("last"), (F.size("e") > 1).alias("usable"))
     b = F.when(F.col("x").isNull(), -1).otherwise(F.size(F.filter("inner", lambda c: c <= F.col("x"))))
-    rows = long.join(F.broadcast(edges), by) if by else long.crossJoin(F.broadcast(edges))
+    rows = long.join(edges, by) if by else long.crossJoin(F.broadcast(edges))
     n = rows.groupBy(*by, "usable", b.alias("bin")).agg(F.count_if(F.col("cur") == 0).alias("r"), F.count_if(F.col("cur") == 1).alias("c"))
     w = W.partitionBy(*by)
     share = lambda c: F.greatest(F.lit(eps), F.col(c) / F.sum(c).over(w))
@@ -91,7 +91,7 @@ def count_alerts(status: DataFrame, columns: list[str]) -> DataFrame:
 def new_codes(items: DataFrame, ref: Column) -> DataFrame:
     """By month: the share of value with a product or partner never seen in the reference. Either one counts."""
     seen = lambda c: items.where(ref).select(c).distinct().withColumn(f"_{c}", F.lit(True))
-    rows = items.join(F.broadcast(seen("product")), "product", "left").join(F.broadcast(seen("partner")), "partner", "left")
+    rows = items.join(seen("product"), "product", "left").join(seen("partner"), "partner", "left")
     new = F.col("_product").isNull() | F.col("_partner").isNull()
     v = F.col("item_value").cast("decimal(18,2)")
     return rows.groupBy("period", "t").agg(F.count("*").alias("rows"), F.coalesce(100 * F.try_divide(F.sum(F.when(new, v)).cast("double"), F.sum(v).cast("double")), F.lit(0.0)).alias("new_codes"))

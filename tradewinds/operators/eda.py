@@ -160,7 +160,7 @@ def flows(panel: DataFrame, community: DataFrame, top: int = 12) -> DataFrame:
     """Value from each market to each product community; markets beyond the top are 'rest'; each community's effective number of markets."""
     rank = F.row_number().over(W.orderBy(F.desc("_v"), "partner"))
     big = panel.groupBy("partner").agg(total("value").alias("_v")).withColumn("_r", rank).where(F.col("_r") <= top).select("partner", F.col("partner").alias("market"))
-    rows = panel.join(F.broadcast(community), "product").join(big, "partner", "left").withColumn("market", F.coalesce("market", F.lit("rest")))
+    rows = panel.join(community, "product").join(big, "partner", "left").withColumn("market", F.coalesce("market", F.lit("rest")))
     by = rows.groupBy("community", "market").agg(total("value").alias("value"))
     w = W.partitionBy("community")
     s = by.withColumn("s", F.col("value") / F.sum("value").over(w))

@@ -13,14 +13,18 @@ FIRST_ORIGIN = 11
 
 
 def grid(panel: DataFrame) -> DataFrame:
-    """Every series (product, partner) of goods at every month from the first to the last of the filtered panel; no trade is 0, negatives are 0."""
+    """Every series (product, partner) of goods at every month from the first to the last of the filtered panel; no trade is 0, negatives are 0.
+
+    A product's chapter is the smallest that the panel has for it.
+    """
     rows = goods(panel)
     cells = rows.groupBy(*KEYS, "t").agg(F.greatest(total("value"), F.lit(0.0)).alias("v"), F.greatest(total("quantity"), F.lit(0.0)).alias("q"), F.sum("n_decl").alias("n_decl"), F.sum("n_firms").alias("n_firms"))
     span = rows.agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    chapters = rows.groupBy("product").agg(F.min("chapter").alias("chapter"))
     spine = rows.select(*KEYS).distinct().join(F.broadcast(span)).select(*KEYS, F.explode(F.sequence("a", "b")).alias("t"), "a")  # one row
-    dense = spine.join(cells, [*KEYS, "t"], "left")
+    dense = spine.join(cells, [*KEYS, "t"], "left").join(chapters, "product")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("double").alias(c)
-    return dense.select(*KEYS, F.substring("product", 1, 7).alias("chapter"), "t", (F.col("t") - F.col("a")).alias("i"), zero("v"), zero("q"), zero("n_decl"), zero("n_firms"))
+    return dense.select(*KEYS, "chapter", "t", (F.col("t") - F.col("a")).alias("i"), zero("v"), zero("q"), zero("n_decl"), zero("n_firms"))
 
 
 def series() -> W:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tradewinds.operators.panel import UNKNOWN_PRODUCT, goods, total
+from tradewinds.shared import materialise, release
 
 
 def firm_products(items: DataFrame, min_value: float = 5000.0, segment: str | None = "bienes") -> DataFrame:
@@ -94,18 +95,25 @@ def partition_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return s.select(F.try_divide(F.col("ij") - expected, (F.col("i") + F.col("j")) / 2 - expected).alias("ari"), F.try_divide(2 * F.col("mi"), F.col("ha") + F.col("hb")).alias("nmi"))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """Smallest product reachable from each; labels spread until none changes; rounds follow the graph's diameter, which is small for products."""
-    e = both_ways(edges).select("p", "q").distinct().cache()
-    labels = e.select(F.col("p").alias("product")).distinct().withColumn("c", F.col("product"))
-    for _ in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """Smallest product reachable from each.
+
+    A round gives each product the smallest label of its neighbours, then the label of its label, so a path of n products takes some log n rounds; each round is
+    written to the shared folder, and rounds go on until no label changes.
+    """
+    e = materialise(both_ways(edges).select("p", "q").distinct())
+    labels = materialise(e.select(F.col("p").alias("product")).distinct().withColumn("c", F.col("product")))
+    while True:
         near = e.join(labels.withColumnRenamed("product", "q"), "q").groupBy("p").agg(F.min("c").alias("m"))
-        new = labels.join(near, F.expr("product = p")).select("product", F.least("c", "m").alias("c"), "c").toDF("product", "c", "was")
-        new = new.cache()
+        hooked = materialise(labels.join(near, F.expr("product = p")).select("product", F.least("c", "m").alias("c"), F.col("c").alias("was")))
+        up = hooked.select(F.col("product").alias("c"), F.col("c").alias("above"))
+        new = materialise(hooked.join(up, "c").select("product", F.col("above").alias("c"), "was"))
+        release(hooked)
+        release(labels)
         if not new.where("c <> was").limit(1).count():
+            release(e)
             return new.select("product", F.col("c").alias("component"))
-        labels = new.select("product", "c")
-    raise RuntimeError("components did not settle")
+        labels = new
 
 
 def activation(panel: DataFrame, target: DataFrame, edges: DataFrame, least: float) -> DataFrame:
@@ -210,7 +218,7 @@ def backbone(edges: DataFrame, quantile: float = 0.995) -> DataFrame:
 
 def community_summary(panel: DataFrame, community: DataFrame, market: str) -> DataFrame:
     """Size, share of value, three main products, distinct chapters, the main chapter's share, the share sold to one market and the main destination of each community."""
-    rows = goods(panel).join(F.broadcast(community.select("product", "community")), "product")
+    rows = goods(panel).join(community.select("product", "community"), "product")
     ranked = lambda key: rows.groupBy("community", key).agg(total("value").alias("v")).withColumn("r", F.row_number().over(W.partitionBy("community").orderBy(F.desc("v"), key))).withColumn("s", F.col("v") / F.sum("v").over(W.partitionBy("community")))
     top = ranked("product").where("r <= 3").groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "product"))), lambda x: x["product"]), ",").alias("top_products"))
     chapters = ranked("chapter").groupBy("community").agg(F.count("*").alias("chapters"), F.max("s").alias("main_chapter_share"))
@@ -221,13 +229,14 @@ def community_summary(panel: DataFrame, community: DataFrame, market: str) -> Da
 
 def coverage(panel: DataFrame, products: DataFrame) -> DataFrame:
     """Percentage of goods value in products of the network."""
-    rows = goods(panel).join(F.broadcast(products.select("product").distinct().withColumn("_in", F.lit(True))), "product", "left")
+    rows = goods(panel).join(products.select("product").distinct().withColumn("_in", F.lit(True)), "product", "left")
     return rows.agg((100 * F.try_divide(total(F.when(F.col("_in"), F.col("value"))), total("value"))).alias("coverage"))
 
 
 def stability(edges: DataFrame, resolutions: list[float], seeds: list[int]) -> DataFrame:
     """Communities, modularity and agreement with the first run, over resolutions and seeds. The collected graph is one of products."""
-    base = communities(edges, resolutions[0], seeds[0]).cache()
+    edges = materialise(edges)
+    base = materialise(communities(edges, resolutions[0], seeds[0]))
     out = None
     for g in resolutions:
         for s in seeds:

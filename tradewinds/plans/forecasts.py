@@ -10,11 +10,13 @@ from tradewinds.plans.base import PANEL, panel
 
 QUERIES, ORACLE = {}, {}
 D = "::decimal(18,2)"
+#: A chapter of the test tables that counts as a commodity.
+COMMODITY = "ECONOMY ANODIZED BRASS"
 
 GRID = PANEL + f""", gp as (select * from panel where segment = 'bienes' and not pseudo and product <> '000000'),
 cells as (select product, partner, t, greatest(sum(value{D})::double, 0) as v, greatest(sum(quantity{D})::double, 0) as q, sum(n_decl)::double as n_decl, sum(n_firms)::double as n_firms from gp group by 1, 2, 3),
 grid as (
-  select k.product, k.partner, substr(k.product, 1, 7) as chapter, m.t::int as t, (m.t - (select min(t) from gp))::int as i, coalesce(v, 0.0) as v, coalesce(q, 0.0) as q, coalesce(n_decl, 0.0) as n_decl, coalesce(n_firms, 0.0) as n_firms
+  select k.product, k.partner, (select min(chapter) from gp where gp.product = k.product) as chapter, m.t::int as t, (m.t - (select min(t) from gp))::int as i, coalesce(v, 0.0) as v, coalesce(q, 0.0) as q, coalesce(n_decl, 0.0) as n_decl, coalesce(n_firms, 0.0) as n_firms
   from (select distinct product, partner from gp) k cross join (select unnest(range((select min(t) from gp), (select max(t) from gp) + 1)) as t) m left join cells c on c.product = k.product and c.partner = k.partner and c.t = m.t
 )"""
 FEATURES = GRID + f""", b as (
@@ -37,7 +39,7 @@ FEATURES = GRID + f""", b as (
     l - log_mean_3 as rel_lag_0, lag_1 - log_mean_3 as rel_lag_1, lag_2 - log_mean_3 as rel_lag_2, lag_seasonal - log_mean_3 as rel_lag_seasonal, lag_12 - log_mean_3 as rel_lag_12, log_mean_12 - log_mean_3 as rel_log_mean_12,
     sd_log_12, active_3::bigint as active_3, active_6::bigint as active_6, active_12::bigint as active_12, since_active, lag_seasonal - mean_log_12 as seasonal_gap,
     case when i >= 14 then ln(1 + s3) - ln(1 + p3) end as growth_3m, case when uv is not null then ln(uv / um) end as price_gap, ln(1 + n_decl) as log_n_decl, ln(1 + f3) as log_n_firms_3,
-    "on", on_1, on_2, on_seasonal, ((c.t + 1 - 1) % 12 + 1)::int as target_month, c.chapter in ('Brand#1') as commodity, active_12 >= 10 as regular, active_12 between 1 and 9 as intermittent, target, chapter_growth, chapter_momentum, partner_group
+    "on", on_1, on_2, on_seasonal, ((c.t + 1 - 1) % 12 + 1)::int as target_month, c.chapter in ('{COMMODITY}') as commodity, active_12 >= 10 as regular, active_12 between 1 and 9 as intermittent, target, chapter_growth, chapter_momentum, partner_group
   from c join ct using (chapter, t) join pr using (partner, t)
 )"""
 BASELINES = GRID + """, s as (select *, sum(v) over (partition by product, partner order by t rows 2 preceding) as s3 from grid),
@@ -63,7 +65,7 @@ def grid(s, d):
 
 
 def frame(s, d, h=1):
-    return X.features(grid(s, d), h, 10, ("Brand#1",))
+    return X.features(grid(s, d), h, 10, (COMMODITY,))
 
 
 def _group(name, columns):

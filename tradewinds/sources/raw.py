@@ -80,7 +80,7 @@ def read_lines(spark: SparkSession, path: str, n_fields: int, encoding: str = "I
     lines = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"\r$", "").alias("line")).where("line <> ''")
     lines = lines.withColumn("short", F.size(F.split("line", ";", -1)) < n_fields)
     wrong = lines.groupBy("file").agg(F.bool_or(F.size(F.split("line", ";", -1)) != n_fields).alias("repair"))
-    lines = lines.join(F.broadcast(wrong), "file").withColumn("line", F.when(F.col("repair"), F.regexp_replace("line", "\r", " ")).otherwise(F.col("line")))
+    lines = lines.join(wrong, "file").withColumn("line", F.when(F.col("repair"), F.regexp_replace("line", "\r", " ")).otherwise(F.col("line")))
     w = W.partitionBy("file").orderBy("block", "at")
     before = F.coalesce(F.lag("short").over(w), F.lit(False))
     # a run: consecutive short lines, and the line after them

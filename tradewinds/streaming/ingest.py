@@ -22,13 +22,16 @@ def late_panel(events: DataFrame, time: str = "ts", keys: tuple[str, ...] = ("pr
 
 
 def gated_months(rows: DataFrame, root: str, checkpoint: str, gate: Callable[[DataFrame], bool]) -> StreamingQuery:
-    """Each batch's flow and months are written as whole partitions if the quality gate lets it; a batch that it stops is set aside under `rejected`."""
+    """Each batch's flow and months are written as whole partitions if the quality gate lets it; a batch that it stops is set aside under `rejected`.
+
+    A batch has a folder of its own, which a replay after a failure writes anew, so its rows are stored once.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
         try:
             if gate(batch):
-                batch.write.partitionBy("flow", "period").mode("append").parquet(f"{root}/store/batch={number}", compression="zstd")
+                batch.write.partitionBy("flow", "period").mode("overwrite").parquet(f"{root}/store/batch={number}", compression="zstd")
             else:
                 batch.write.mode("overwrite").parquet(f"{root}/rejected/batch={number}")
         finally:
