@@ -83,6 +83,24 @@ def naive_rules(perf: DataFrame) -> DataFrame:
     return s.select("t", "wape_status", F.when(twice, "alert").otherwise(F.col("_b")).alias("bias_status"))
 
 
+def monitor(pred: DataFrame, methods: list[str], ref: Column) -> DataFrame:
+    """By method and month (t): WAPE, bias and their statuses against the method's own WAPE over the months that `ref` names."""
+    long = pred.where("y is not null").withColumn("_ref", ref).unpivot(["t", "y", "_ref"], methods, "method", "f").where("f is not null")
+    by = long.groupBy("method", "t").agg(F.first("_ref").alias("_ref"), F.sum(F.abs(F.col("f") - F.col("y"))).alias("e"), F.sum(F.col("f") - F.col("y")).alias("d"), F.sum("y").alias("s"), F.count("*").alias("n"))
+    own = W.partitionBy("method")
+    by = by.withColumns({"wape": F.try_divide("e", "s"), "bias": F.try_divide("d", "s"), "ref": F.try_divide(F.sum(F.when(F.col("_ref"), F.col("e"))).over(own), F.sum(F.when(F.col("_ref"), F.col("s"))).over(own))})
+    ratio = F.when(F.col("wape") > 1.5 * F.col("ref"), "alert").when(F.col("wape") > 1.2 * F.col("ref"), "warn").otherwise("ok")
+    s = by.withColumn("_b", level(100 * F.col("bias"), 10, 20))
+    twice = (F.col("_b") != "ok") & F.coalesce(F.lag("_b").over(own.orderBy("t")) != "ok", F.lit(False))
+    return s.select("method", "t", "n", "wape", "bias", "ref", ratio.alias("wape_status"), F.when(twice, "alert").otherwise(F.col("_b")).alias("bias_status"))
+
+
+def scenarios(monitored: DataFrame) -> DataFrame:
+    """By method: months, mean WAPE and bias, and how often each status was raised."""
+    count = lambda c, v: F.count_if(F.col(c) == v).alias(f"{c.split('_')[0]}_{v}")
+    return monitored.groupBy("method").agg(F.count("*").alias("months"), F.round(F.avg("wape"), 6).alias("wape"), F.round(F.avg("bias"), 6).alias("bias"), *[count(c, v) for c in ("wape_status", "bias_status") for v in ("warn", "alert")])
+
+
 def count_alerts(status: DataFrame, columns: list[str]) -> DataFrame:
     long = status.unpivot("t", columns, "layer", "status")
     return long.groupBy("layer").agg(F.count_if(F.col("status") == "warn").alias("warn"), F.count_if(F.col("status") == "alert").alias("alert"))
