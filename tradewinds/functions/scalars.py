@@ -29,6 +29,29 @@ def normalize_code(c: Column) -> Column:
     return F.when(digits.isNotNull(), F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0")))
 
 
+def prefixes(code: Column) -> list[Column]:
+    """hs6 (six zeros where there is no code), chapter and hs4 of a customs code."""
+    hs6 = F.coalesce(F.substring(code, 1, 6), F.lit("000000"))
+    return [hs6.alias("hs6"), F.substring(hs6, 1, 2).alias("chapter"), F.substring(hs6, 1, 4).alias("hs4")]
+
+
+def starts_with(c: Column, *prefixes_: str) -> Column:
+    """Whether a text begins with one of the prefixes; null does not."""
+    out = F.lit(False)
+    for p in prefixes_:
+        out = out | F.startswith(c, F.lit(p))
+    return F.coalesce(out, F.lit(False))
+
+
+def scaled(c: Column, unit: float = 1e6) -> Column:
+    return c / unit
+
+
+def title(c: Column, small: tuple[str, ...] = ("of", "and", "the")) -> Column:
+    """Words with a capital first letter, but for small words after the first."""
+    return F.array_join(F.transform(F.split(F.lower(c), " "), lambda w, i: F.when((i > 0) & w.isin(*small), w).otherwise(F.initcap(w))), " ")
+
+
 def safe_ratio(a: Column, b: Column) -> Column:
     """Null where either is not above 0."""
     return F.when((a > 0) & (b > 0), a / b)

@@ -57,6 +57,21 @@ def monthly_pivot(panel: DataFrame, products: list[str], partners: list[str]) ->
     return span.join(wide, "t", "left").na.fill(0.0).withColumnsRenamed({p: f"to_{p}" for p in partners})
 
 
+def monthly_unit_values(panel: DataFrame, products: list[str], partners: list[str]) -> DataFrame:
+    """Month by partner on an axis without gaps: value, quantity (0 where none) and unit value (null where nothing was weighed) of some products."""
+    rows = goods(panel)
+    span = rows.agg(F.min("t").alias("a"), F.max("t").alias("b")).select(F.explode(F.sequence("a", "b")).alias("t"))
+    wide = rows.where(F.col("product").isin(products)).groupBy("t").pivot("partner", partners).agg(total("value").alias("value"), total("quantity").alias("quantity"))
+    of = lambda p, c: F.coalesce(F.col(f"{p}_{c}"), F.lit(0.0))
+    columns = [x for p in partners for x in (of(p, "value").alias(f"value_{p}"), of(p, "quantity").alias(f"quantity_{p}"), F.when(of(p, "quantity") > 0, of(p, "value") / of(p, "quantity")).alias(f"unit_{p}"))]
+    return span.join(wide, "t", "left").select("t", *columns)
+
+
+def pairs_differ(a: DataFrame, b: DataFrame) -> DataFrame:
+    """How many rows each of two tables of pairs has that the other lacks; both 0 if they are equal."""
+    return a.exceptAll(b).agg(F.count("*").alias("only_first")).crossJoin(b.exceptAll(a).agg(F.count("*").alias("only_second")))
+
+
 def block_bootstrap(series: DataFrame, block: int = 3, draws: int = 5000, seed: int = 42) -> DataFrame:
     """Difference of means after and before (columns t, v, post) with a moving-block percentile interval. A hundred-odd months: draws are rows, blocks are sums taken once."""
     n = series.groupBy("post").agg(F.count("*").alias("n"))

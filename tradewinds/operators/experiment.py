@@ -198,6 +198,16 @@ def opportunities(candidates: DataFrame, panel: DataFrame, n: int, year_a: str,
     return best.join(stats, ["product", "partner"], "left").na.fill(0.0, ["value_a", "value_b"]).na.fill(0, ["months_a"])
 
 
+def trajectory(candidates: DataFrame, panel: DataFrame, year: str, total_: str = "value_b") -> DataFrame:
+    """Candidates with their value from the start of `year` up to each of its months (m01 to m12, 0 where none), and whether the last equals the candidate's `total_`."""
+    months = [f"{m:02d}" for m in range(1, 13)]
+    rows = panel.where(F.substring("period", 1, 4) == year).join(candidates.select("product", "partner"), ["product", "partner"], "left_semi")
+    wide = rows.withColumn("_m", F.substring("period", 6, 2)).groupBy("product", "partner").pivot("_m", months).agg(F.sum(F.greatest(F.col("value"), F.lit(0.0)).cast("decimal(18,2)")))
+    upto = lambda k: sum((F.coalesce(F.col(m), F.lit(0).cast("decimal(18,2)")) for m in months[: k + 1]), F.lit(0).cast("decimal(18,2)")).cast("double")
+    out = candidates.join(wide, ["product", "partner"], "left").select(*candidates.columns, *[upto(k).alias(f"m{m}") for k, m in enumerate(months)])
+    return out.withColumn("consistent", F.abs(F.col("m12") - F.col(total_)) < 0.01)
+
+
 def power(p0: float, lift: float, n_treat: int, n_control: int, alpha: float = 0.05, comparisons: int = 1, deff: float = 1.0, r2: float = 0.0) -> float:
     """Chance of finding a relative lift."""
     p1 = min(p0 * (1 + lift), 1.0)

@@ -19,6 +19,13 @@ def score(pred: DataFrame, methods: list[str], by: list[str]) -> DataFrame:
     )
 
 
+def hits(pred: DataFrame, score: str, y: str, keys: list[str], best: int = 100, first: int = 10) -> DataFrame:
+    """Of the `best` rows by score those that came true, the first of them: ties by keys."""
+    order = [F.desc(score), *keys]
+    top = pred.orderBy(*order).limit(best)
+    return top.where(F.col(y) > 0).orderBy(*order).limit(first)
+
+
 def by_score(pred: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     """Counts at each distinct score and running counts from the largest."""
     s = pred.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from tradewinds.functions import scalars as S
 from tradewinds.operators import causal as C
 from tradewinds.plans.base import read
+from tradewinds.shared import shared_dir
 from tradewinds.sources import raw as R
 
 QUERIES, ORACLE = {}, {}
@@ -30,8 +30,7 @@ def _delete(s, path):
 
 def _load(s, d):
     """All months of the orders into the shared folder, two of them read back."""
-    top = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tradewinds-")  # unset in tests
-    path = f"{top.rstrip('/')}/months-{uuid.uuid4().hex}"
+    path = f"{shared_dir(s)}/months-{uuid.uuid4().hex}"
     rows = read(s, d, "orders").select("o_orderkey", "o_custkey", F.lit("exp").alias("flow"), F.date_format("o_orderdate", "yyyy-MM").alias("period"))
     R.write_months(rows.repartition("period"), path)
     atexit.register(_delete, s, path)  # results read it lazily

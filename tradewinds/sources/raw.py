@@ -120,6 +120,11 @@ def ingest_log(lines: DataFrame, rows: DataFrame, date: str, period: Column) ->
     return a.join(b, "file", "left")
 
 
+def log_totals(log: DataFrame, counters: list[str], by: str = "kind") -> DataFrame:
+    """Sums of an ingest log's counters for each flow; a counter that a row lacks is 0."""
+    return log.groupBy(by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])
+
+
 def upsert_log(previous: DataFrame, new: DataFrame) -> DataFrame:
     """The last row of each kind, year and month."""
     both = previous.withColumn("_seq", F.lit(0)).unionByName(new.withColumn("_seq", F.lit(1)), allowMissingColumns=True)
