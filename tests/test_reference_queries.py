@@ -198,3 +198,30 @@ def test_scalars(spark):
     assert [r[0] for r in df.select(S.description(F.col("n"))).collect()] == ["SALMON DEL ATLANTICO CONGELADO", "VINO TINTO", None]
     buckets = [r[0] for r in spark.range(1, 11).select(S.quantile_bucket(F.col("id"), F.lit(10), 4)).collect()]
     assert [buckets.count(k) for k in (1, 2, 3, 4)] == [3, 2, 2, 3]
+
+
+def test_components_of_a_long_path_and_of_islands(spark):
+    path = [(f"n{k:03d}", f"n{k + 1:03d}", 1.0) for k in range(200)]
+    edges = spark.createDataFrame([*path, ("x", "y", 0.5)], "p string, q string, phi double")
+    got = {r.product: r.component for r in graph.components(edges).collect()}
+    assert {got[f"n{k:03d}"] for k in range(201)} == {"n000"} and got["x"] == got["y"] == "x"
+
+
+def test_prefixes_and_chapters_of_customs_codes(spark):
+    df = spark.createDataFrame([("01012990",), (None,), ("87",)], "code string")
+    assert [tuple(r) for r in df.select(*S.prefixes(F.col("code"))).collect()] == [("010129", "01", "0101"), ("000000", "00", "0000"), ("87", "87", "87")]
+    assert [r[0] for r in df.select(S.starts_with(F.col("code"), "01", "02")).collect()] == [True, False, False]
+
+
+def test_trajectories_add_up(spark):
+    panel_ = spark.createDataFrame([("p", "c", "1999-02", 5.0), ("p", "c", "1999-11", 2.0), ("p", "c", "1999-12", -9.0), ("p", "d", "1998-01", 1.0)], "product string, partner string, period string, value double")
+    some = spark.createDataFrame([("p", "c", 7.0), ("p", "d", 1.0)], "product string, partner string, value_b double")
+    got = {r.partner: r for r in experiment.trajectory(some, panel_, "1999").collect()}
+    assert (got["c"].m01, got["c"].m02, got["c"].m10, got["c"].m12, got["c"].consistent) == (0.0, 5.0, 5.0, 7.0, True)
+    assert (got["d"].m12, got["d"].consistent) == (0.0, False)
+
+
+def test_entry_point_passes_over_an_absent_subpackage_only():
+    import __spark_entry__ as e
+
+    assert e._absent(ModuleNotFoundError(name="tradewinds.llm")) and not e._absent(ModuleNotFoundError(name="xxhash"))

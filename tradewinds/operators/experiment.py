@@ -177,13 +177,18 @@ def obf_bounds(looks: int, alpha: float = 0.05, sims: int = 200_000, seed: int =
     return c * np.sqrt(looks / k)
 
 
+def clustered_variance(k: str, mean: Column) -> Column:
+    """Variance of a mean of clusters' sums: column `k` clusters, N units, and the sums over clusters of s * s (ss), s * n (sn) and n * n (nn)."""
+    return F.try_divide(F.col(k), F.col(k) - 1) * (F.col("ss") - 2 * mean * F.col("sn") + mean * mean * F.col("nn")) / (F.col("N") * F.col("N"))
+
+
 def aa_tests(units: DataFrame, cluster: str, y: str, seeds: int, clustered: bool) -> DataFrame:
     """A/A tests, batched: each seed splits clusters in two by hash; returns seed and p."""
     by = units.groupBy(cluster).agg(F.count("*").alias("n"), F.sum(y).cast("double").alias("s"), F.sum(F.col(y) * F.col(y)).cast("double").alias("q"))
     rows = by.select("*", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed")).withColumn("arm", (uniform(cluster, "seed") < 0.5).cast("int"))
     a = rows.groupBy("seed", "arm").agg(F.count("*").alias("k"), F.sum("n").cast("double").alias("N"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("n")).alias("sn"), F.sum(F.col("n") * F.col("n")).cast("double").alias("nn"))
     m = F.col("S") / F.col("N")
-    v = F.try_divide(F.col("k"), F.col("k") - 1) * (F.col("ss") - 2 * m * F.col("sn") + m * m * F.col("nn")) / (F.col("N") * F.col("N")) if clustered else (F.col("Q") / F.col("N") - m * m) / F.col("N")
+    v = clustered_variance("k", m) if clustered else (F.col("Q") / F.col("N") - m * m) / F.col("N")
     s = a.select("seed", "arm", m.alias("m"), v.alias("v")).groupBy("seed").agg(F.sum(F.when(F.col("arm") == 1, F.col("m")).otherwise(-F.col("m"))).alias("d"), F.sum("v").alias("v"))
     return s.select("seed", two_sided(F.try_divide(F.col("d"), F.sqrt("v"))).alias("p"))
 
@@ -233,7 +238,7 @@ def peeking(units: DataFrame, cluster: str, y: str, look: str, looks: int, seeds
     rows = at.select("*", F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed")).withColumn("arm", (uniform(cluster, "seed") < 0.5).cast("int"))
     a = rows.groupBy("seed", "k", "arm").agg(F.count("*").alias("c"), F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("n")).alias("sn"), F.sum(F.col("n") * F.col("n")).alias("nn"))
     m = F.col("S") / F.col("N")
-    v = F.try_divide(F.col("c"), F.col("c") - 1) * (F.col("ss") - 2 * m * F.col("sn") + m * m * F.col("nn")) / (F.col("N") * F.col("N"))
+    v = clustered_variance("c", m)
     z = a.select("seed", "k", "arm", m.alias("m"), v.alias("v")).groupBy("seed", "k").agg(F.abs(F.try_divide(F.sum(F.when(F.col("arm") == 1, F.col("m")).otherwise(-F.col("m"))), F.sqrt(F.sum("v")))).alias("z"))
     bound = F.element_at(F.array(*[F.lit(float(b)) for b in bounds]), F.col("k"))
     per = z.groupBy("seed").agg(F.coalesce(F.bool_or(F.col("z") > 1.96), F.lit(False)).alias("naive"), F.coalesce(F.bool_or(F.col("z") > bound), F.lit(False)).alias("bounded"))
@@ -248,7 +253,7 @@ def replications(units: DataFrame, cluster: str, id_: list[str], lift: float, se
     by = rows.groupBy("seed", "arm", cluster).agg(F.count("*").cast("double").alias("n"), F.sum("o").alias("s"), F.sum(F.col("y1") - F.col("y")).alias("gain"))
     a = by.groupBy("seed", "arm").agg(F.count("*").alias("k"), F.sum("n").alias("N"), F.sum("s").alias("S"), F.sum(F.col("s") * F.col("s")).alias("ss"), F.sum(F.col("s") * F.col("n")).alias("sn"), F.sum(F.col("n") * F.col("n")).alias("nn"), F.sum("gain").alias("gain"))
     m = F.col("S") / F.col("N")
-    v = F.try_divide(F.col("k"), F.col("k") - 1) * (F.col("ss") - 2 * m * F.col("sn") + m * m * F.col("nn")) / (F.col("N") * F.col("N"))
+    v = clustered_variance("k", m)
     per = a.select("seed", "arm", m.alias("m"), v.alias("v"), "gain", "N").groupBy("seed").agg(F.sum(F.when(F.col("arm") == 1, F.col("m")).otherwise(-F.col("m"))).alias("d"), F.sqrt(F.sum("v")).alias("se"), (F.sum("gain") / F.sum("N")).alias("truth"))
     inside = F.abs(F.col("d") - F.col("truth")) <= 1.96 * F.col("se")
     return per.agg(F.avg("d").alias("estimate"), F.avg("truth").alias("truth"), F.avg(inside.cast("double")).alias("coverage"), F.avg((F.abs("d") > 1.96 * F.col("se")).cast("double")).alias("power"), F.count("*").alias("runs"))

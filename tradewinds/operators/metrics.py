@@ -82,7 +82,7 @@ def months_won(pred: DataFrame, method: str, baseline: str) -> DataFrame:
     return by.agg(F.count_if(F.col("a") < F.col("b")).alias("won"), F.count("*").alias("months"))
 
 
-def bootstrap_difference(pred: DataFrame, cluster: list[str], a: str, b: str, replicates: int = 200, seed: int = 42) -> DataFrame:
+def bootstrap_difference(pred: DataFrame, cluster: list[str], a: str, b: str, replicates: int = 300, seed: int = 42) -> DataFrame:
     """Difference of two methods' WAPE with a 95 % interval: clusters drawn with Poisson(1) weights from a hash of cluster and replicate; sums are made by cluster first."""
     sums = pred.where("y is not null").groupBy(*cluster).agg(F.sum(F.abs(F.col(a) - F.col("y"))).alias("ea"), F.sum(F.abs(F.col(b) - F.col("y"))).alias("eb"), F.sum("y").alias("y"))
     u = F.pmod(F.xxhash64(*cluster, "r", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)

@@ -100,7 +100,7 @@ ORACLE["exp12_cuped"] = f"with {_UNITS}, b as (select covar_samp(x, y) / var_sam
 QUERIES["exp08_srm"] = lambda s, d: _r(X.srm(units(s, d), ["C", "A", "B"], [1, 1, 1]), "chi2")
 ORACLE["exp08_srm"] = f"with {_UNITS}, n as (select arm, count(*) as n from units group by 1) select round(sum(power(n - e, 2) / e), 6) as chi2, count(*) - 1 as df from (select n, sum(n) over () / 3 as e from n)"
 QUERIES["exp07_assign"] = lambda s, d: X.assign(units(s, d).withColumn("c", F.concat_ws("_", "product", "partner")), ["C", "A", "B"], [2, 1, 1], "c", "score")
-QUERIES["exp19_aa_tests"] = lambda s, d: X.aa_tests(units(s, d).withColumn("c", F.concat_ws("_", "product", "partner")), "c", "y", 100, True).agg(F.avg((F.col("p") < 0.05).cast("double")).alias("false_positives"), F.count("*").alias("n"))
+QUERIES["exp19_aa_tests"] = lambda s, d: X.aa_tests(units(s, d).withColumn("c", F.concat_ws("_", "product", "partner")), "c", "y", 1000, True).agg(F.avg((F.col("p") < 0.05).cast("double")).alias("false_positives"), F.count("*").alias("n"))
 QUERIES["exp22_subgroups"] = lambda s, d: _r(units(s, d).crossJoin(F.broadcast(units(s, d).agg(F.percentile("score", F.lit(0.5)).alias("cut")))).groupBy("arm", (F.col("score") >= F.col("cut")).alias("high")).agg(F.avg("y").alias("m"), F.count("*").alias("n")), "m")
 ORACLE["exp22_subgroups"] = f"with {_UNITS} select arm, score >= (select quantile_cont(score, 0.5) from units) as high, round(avg(y), 6) as m, count(*) as n from units group by 1, 2"
 QUERIES["exp10_potential"] = lambda s, d: X.potential_outcomes(X.base_probability(units(s, d), "score", "y"), 0.2, ["product", "partner", "t"]).groupBy("arm").agg(F.round(F.avg("y"), 6).alias("y0"), F.round(F.avg("y1"), 6).alias("y1"))
@@ -140,7 +140,7 @@ QUERIES |= {
     "cau04_did": lambda s, d: C.did(sample(s, d)),
     "cau06_event_study": lambda s, d: C.event_study(sample(s, d)),
     "cau07_placebos": lambda s, d: C.placebos(sample(s, d), "7"),
-    "cau12_block_bootstrap": lambda s, d: C.block_bootstrap(sample(s, d).where("at_treated").groupBy("t", "post").agg(F.sum("v").alias("v")), draws=500),
+    "cau12_block_bootstrap": lambda s, d: C.block_bootstrap(sample(s, d).where("at_treated").groupBy("t", "post").agg(F.sum("v").alias("v"))),
     "agg30_design": lambda s, d: sample(s, d).groupBy("group").agg(F.countDistinct("product").alias("products"), F.sum(F.when(F.col("at_treated"), F.col("v").cast("decimal(18,2)")).otherwise(0)).cast("double").alias("value")),
 }
 ORACLE |= {
