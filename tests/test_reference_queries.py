@@ -225,3 +225,17 @@ def test_entry_point_passes_over_an_absent_subpackage_only():
     import __spark_entry__ as e
 
     assert e._absent(ModuleNotFoundError(name="tradewinds.llm")) and not e._absent(ModuleNotFoundError(name="xxhash"))
+
+
+def test_running_sums_in_ranges(spark, monkeypatch):
+    from tradewinds.operators import ranks
+
+    monkeypatch.setattr(ranks, "RANGES", 5)
+    rng = np.random.default_rng(3)
+    data = [(int(g), float(o) if o < 18 else None, k, int(v)) for k, (g, o, v) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 20, 200), rng.integers(0, 9, 200)))]
+    df = spark.createDataFrame(data, "g int, o double, k int, v int")
+    got = {r.k: r for r in ranks.running(df, ["g"], F.col("o"), {"n": F.lit(1), "s": F.col("v")}, ("k",)).collect()}
+    for g in range(3):
+        own = sorted((x for x in data if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+        for n, x in enumerate(own, 1):
+            assert (got[x[2]].n, got[x[2]].s, got[x[2]].all_n) == (n, sum(y[3] for y in own[:n]), len(own))

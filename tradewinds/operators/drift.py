@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tradewinds.operators.ranks import running
+
 
 def level(v: Column, warn: float, alert: float) -> Column:
     """ok, warn or alert by strict thresholds of |v|; missing and NaN are ok."""
@@ -45,9 +47,9 @@ def psi_categorical(long: DataFrame, eps: float = 1e-4) -> DataFrame:
 def ks(long: DataFrame, by: list[str]) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of non-null x; counts by value first."""
     n = long.where("x is not null").groupBy(*by, "x").agg(F.count_if(F.col("cur") == 0).alias("r"), F.count_if(F.col("cur") == 1).alias("c"))
-    run, all_ = W.partitionBy(*by).orderBy("x"), W.partitionBy(*by)
-    d = F.abs(F.try_divide(F.sum("r").over(run), F.sum("r").over(all_)) - F.try_divide(F.sum("c").over(run), F.sum("c").over(all_)))
-    return n.select(*by, d.alias("d")).groupBy(*by).agg(F.max("d").alias("ks"))
+    sums = running(n, by, F.col("x"), {"upto_r": F.col("r"), "upto_c": F.col("c")})
+    d = F.abs(F.try_divide("upto_r", "all_upto_r") - F.try_divide("upto_c", "all_upto_c"))
+    return sums.select(*by, d.alias("d")).groupBy(*by).agg(F.max("d").alias("ks"))
 
 
 def feature_drift(frame: DataFrame, features: list[str], cur: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tradewinds.operators.panel import money, total
+from tradewinds.operators.ranks import running
 
 def year() -> Column:
     return F.substring("period", 1, 4)
@@ -70,14 +71,18 @@ def top_shares(panel: DataFrame, key: str, n: int, eligible: Column | None = Non
 
 def concentration(panel: DataFrame, key: str) -> DataFrame:
     """Keys by value with cumulative shares."""
+    return _concentration(panel, key).drop("n")
+
+
+def _concentration(panel: DataFrame, key: str) -> DataFrame:
     by = panel.groupBy(key).agg(total("value").alias("value"))
-    w = W.orderBy(F.desc("value"), key)
-    return by.select(key, "value", F.row_number().over(w).cast("long").alias("rank"), r6(100 * F.sum(money("value")).over(w).cast("double") / F.sum(money("value")).over(W.partitionBy()).cast("double")).alias("cumulative"))
+    sums = running(by, [], -F.col("value"), {"rank": F.lit(1), "upto": money("value")}, (key,))
+    return sums.select(key, "value", F.col("rank").cast("long").alias("rank"), r6(100 * F.col("upto").cast("double") / F.col("all_upto").cast("double")).alias("cumulative"), F.col("all_rank").alias("n"))
 
 
 def concentration_summary(panel: DataFrame, key: str) -> DataFrame:
     """How many keys hold 80 and 95 percent (null if none does), and the share of the first tenth."""
-    c = concentration(panel, key).withColumn("n", F.count("*").over(W.partitionBy()))
+    c = _concentration(panel, key)
     tenth = F.max(F.when(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("n") / 10)), F.col("cumulative")))
     return c.agg(F.min(F.when(F.col("cumulative") >= 80, F.col("rank"))).alias("n80"), F.min(F.when(F.col("cumulative") >= 95, F.col("rank"))).alias("n95"), tenth.alias("top_tenth"))
 

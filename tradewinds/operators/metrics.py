@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tradewinds.operators.ranks import running
+
 
 def score(pred: DataFrame, methods: list[str], by: list[str]) -> DataFrame:
     """WAPE, mean absolute log error, total bias and n of each method; forecasts are clipped at 0."""
@@ -29,9 +31,7 @@ def hits(pred: DataFrame, score: str, y: str, keys: list[str], best: int = 100,
 def by_score(pred: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     """Counts at each distinct score and running counts from the largest."""
     s = pred.groupBy(*by, p).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    w = W.partitionBy(*by).orderBy(F.desc(p))
-    all_ = W.partitionBy(*by)
-    return s.select(*by, p, "pos", "n", F.sum("pos").over(w).alias("tp"), F.sum("n").over(w).alias("k"), F.sum("pos").over(all_).alias("all_pos"), F.sum("n").over(all_).alias("all_n"))
+    return running(s, by, -F.col(p), {"tp": F.col("pos"), "k": F.col("n")}).withColumnsRenamed({"all_tp": "all_pos", "all_k": "all_n"})
 
 
 def classification(pred: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
