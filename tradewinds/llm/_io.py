@@ -1,20 +1,17 @@
-"""Reading inputs and writing intermediate tables where every executor can read them."""
+"""Reading inputs, batches of bounded size, and ids of bounded samples."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewinds.shared import append, empty_table, materialise, release, reread, shared_dir
+
+__all__ = ["append", "configure", "crc_mod", "empty_table", "materialise", "release", "reread", "sample_ids", "shared_dir", "table"]
+
 #: Rows and bytes of one Arrow batch at most: the same for every operator, so that the order in which queries are built and run does not matter.
 ARROW_ROWS, ARROW_BYTES = 4000, 16 << 20
 
-_written: list[tuple[SparkSession, str]] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,69 +23,6 @@ def configure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, or else the session's checkpoint folder.
-
-    Where neither is set, a session of one machine (master local) gets a folder of its own; a cluster, whose executors would not see it, is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or getattr(spark, "_tradewinds_dir", None)
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = spark._tradewinds_dir = tempfile.mkdtemp(prefix="tradewinds-")
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write `df` once into the shared folder and read it back: the lineage ends there, and a lost executor costs no more than a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tw-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tradewinds_path = path
-    return out
-
-
-def empty_table(spark: SparkSession, schema: str) -> DataFrame:
-    """A table of the shared folder without rows, for `append`."""
-    return materialise(spark.createDataFrame([], schema))
-
-
-def append(df: DataFrame, to: DataFrame) -> None:
-    """Add rows to a table of `materialise`."""
-    df.select(*to.columns).write.mode("append").parquet(to._tradewinds_path)
-
-
-def reread(df: DataFrame) -> DataFrame:
-    """A table of `materialise` with what was added to it."""
-    return df.sparkSession.read.schema(df.schema).parquet(df._tradewinds_path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table of `materialise` that no later plan reads."""
-    path = getattr(df, "_tradewinds_path", None)
-    if path:
-        _delete(df.sparkSession, path)
-        _written[:] = [x for x in _written if x[1] != path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _clean() -> None:
-    """Tables that results read lazily stay until the driver ends."""
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may be gone already
-            return
-
-
 def crc_mod(column, n: int):
     """crc32 of the id as text, modulo n; null where the id is null."""
     return F.crc32(column.cast("string").cast("binary")) % n
