@@ -61,12 +61,12 @@ def mde(p0: float, n_treat: int, n_control: int, alpha: float = 0.05, power: flo
 
 
 def assign(units: DataFrame, arms: list[str], weights: list[float], cluster: str, strata_by: str, strata: int = 4, seed: int = 0) -> DataFrame:
-    """Clusters to arms, whole, within strata of their mean, in proportion to weights: shuffled by hash and cut at half-even rounded cumulative counts."""
+    """Clusters to arms, whole, within strata of their mean, in proportion to weights: shuffled by the MD5 of their name and the seed, and cut at half-even rounded cumulative counts."""
     c = units.groupBy(cluster).agg(F.avg(strata_by).alias("m"))
     r, n = F.row_number().over(W.orderBy("m", cluster)), F.count("*").over(W.partitionBy())
     c = c.withColumn("_r", r).withColumn("_n", n).withColumn("stratum", F.greatest(F.lit(1), F.ceil((F.col("_r") - 1) * strata / F.greatest(F.lit(1), F.col("_n") - 1))).cast("int"))
     w = W.partitionBy("stratum")
-    c = c.withColumn("_k", F.row_number().over(w.orderBy(F.xxhash64(cluster, F.lit(seed)), cluster))).withColumn("_m", F.count("*").over(w))
+    c = c.withColumn("_k", F.row_number().over(w.orderBy(F.md5(F.concat(F.col(cluster), F.lit(str(seed)))), cluster))).withColumn("_m", F.count("*").over(w))
     total, run, arm = sum(weights), 0.0, None
     for name, weight in zip(arms, weights):
         run += weight

@@ -75,5 +75,11 @@ ORACLE = {
     "set05_pairs": "select 0::bigint as only_first, 0::bigint as only_second",
     "srt07_hits": f"with {BASELINES}, a as (select product, partner, mean_3, y from baselines where t = 23990 order by mean_3 desc, product, partner limit 100) select product, partner, mean_3 from a where y > 0 order by mean_3 desc, product, partner limit 10",
     "grf10_components": _components_sql(),
+    "exp07_assign": f"""with {studies._UNITS}, ca as (select product || '_' || partner as c, avg(score) as m from units group by 1), cb as (select *, row_number() over (order by m, c) as r, count(*) over () as n from ca),
+  cc as (select c, greatest(1, ceil((r - 1) * 4 / greatest(1, n - 1)))::int as stratum from cb),
+  cd as (select *, row_number() over (partition by stratum order by md5(c || '0'), c) as k, count(*) over (partition by stratum) as mm from cc)
+  select c, stratum, case when k <= round_even(mm * 0.5, 0) then 'C' when k <= round_even(mm * 0.75, 0) then 'A' else 'B' end as arm from cd""",
+    "exp23_unit_costs": f"""with {studies._CM}, x as (select a.arm, case a.arm when 'A' then 10.0 else 20.0 end::double as cost, a.m - c.m as effect, sqrt(a.v + c.v) as se from mv a join mv c on c.arm = 'C' where a.arm <> 'C')
+  select arm, cost, round(case when effect > 0 then cost / effect end, 3) as per_outcome, round(case when effect - 1.96 * se > 0 then cost / (effect + 1.96 * se) end, 3) as lo, round(case when effect - 1.96 * se > 0 then cost / (effect - 1.96 * se) end, 3) as hi from x""",
     "drf14_alert_counts": f"with {studies._CTL}, f as (select t, case when s = 'warn' and lag(s) over (order by t) = 'warn' and sign(lag(z) over (order by t)) = sign(z) then 'alert' else s end as status from st) select 'status' as layer, count(*) filter (status = 'warn') as warn, count(*) filter (status = 'alert') as alert from f where t >= {CUT}",
 }
