@@ -239,3 +239,10 @@ def test_running_sums_in_ranges(spark, monkeypatch):
         own = sorted((x for x in data if x[0] == g), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
         for n, x in enumerate(own, 1):
             assert (got[x[2]].n, got[x[2]].s, got[x[2]].all_n) == (n, sum(y[3] for y in own[:n]), len(own))
+
+
+def test_tables_are_found_by_title_and_header(spark):
+    html = "<p>Countries</p><table><tr><th>Name</th><th>Code</th></tr><tr><td>A</td><td>1</td></tr></table><h2>Ports</h2><table><tr><td>x</td></tr></table><h2>ports of call</h2><table><tr><th>PORT code</th></tr><tr><td>7</td><tr><td>8</table>"
+    tables = raw.html_tables(spark.createDataFrame([(1, html), (2, "<p>none</p>"), (3, None)], "page_id long, html string"))
+    assert [(r.page_id, r.table, r.cells) for r in raw.find_table(tables, "Ports", "port").orderBy("row").collect()] == [(1, 2, ["7"]), (1, 2, ["8"])]
+    assert [r.cells for r in raw.find_table(tables, "countries", "CODE").collect()] == [["A", "1"]]

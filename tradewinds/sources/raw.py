@@ -222,3 +222,10 @@ def html_tables(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["page_id", "table", "before", "row", "cells"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, table int, before string, row int, cells array<string>")
+
+
+def find_table(tables: DataFrame, before: str, header: str) -> DataFrame:
+    """Rows below the header of each page's first table that has `before` in the text ahead of it and `header` in a cell of its first row, whatever the case."""
+    has = lambda c, text: F.contains(F.lower(c), F.lit(text.lower()))
+    wanted = tables.where((F.col("row") == 0) & has(F.col("before"), before) & F.exists("cells", lambda c: has(c, header)))
+    return tables.join(wanted.groupBy("page_id").agg(F.min("table").alias("table")), ["page_id", "table"]).where("row > 0")
