@@ -56,3 +56,25 @@ def test_src17_reads_two_months_of_a_whole_store(spark, monkeypatch):
     monkeypatch.setattr(raw, "load", lambda s, root, *a: seen.append(s.read.parquet(root).count()) or load(s, root, *a))
     got = catalog.QUERIES["src17_load"](spark, SF)
     assert seen == [spark.read.parquet(f"{SF}/orders.parquet").count()] and 0 < got.count() < seen[0]
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    import pytest
+
+    from tradewinds import shared
+
+    class Session:
+        def __init__(self, folder, master, checkpoint=None):
+            self.conf = type("C", (), {"get": lambda _, key, default: folder})()
+            self.sparkContext = type("S", (), {"master": master, "getCheckpointDir": lambda _: checkpoint})()
+
+    assert shared.shared_dir(Session("s3://bucket/x/", "spark://host:1")) == "s3://bucket/x"
+    assert shared.shared_dir(Session(None, "yarn", "hdfs://y")) == "hdfs://y"
+    assert shared.shared_dir(Session(None, "local[8]"))
+    for master in ("yarn", "spark://host:1", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            shared.shared_dir(Session(None, master))
+    some = shared.empty_table(spark, "a long")
+    shared.append(spark.range(3).toDF("a"), some)
+    assert shared.reread(some).count() == 3
+    shared.release(some)
