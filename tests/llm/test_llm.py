@@ -5,11 +5,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tradewinds.llm import hostrules, langid, mixing, ngram_join, packing, pii, quality, tokencount, topk, toxicity
+from tradewinds.llm import hostrules, langid, mixing, ngram_join, packing, pii, quality, registry, tokencount, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, rank int, node int, score double"
 
@@ -124,6 +125,20 @@ def test_op1_clusters():
     assert ngram_join.clusters(linked).tolist() == [0] * 21 + [21] * 18 + [39]
 
 
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
+def test_matches_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    c = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    got = registry.QUERIES[name](spark, sf)
+    want = c.execute(registry.ORACLE[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == sorted(got.columns)
+    cell = lambda v: f"{v:.6f}" if isinstance(v, float) else str(v)
+    assert sorted(tuple(cell(r[n]) for n in names) for r in got.collect()) == sorted(tuple(map(cell, r)) for r in want.fetchall())
+
+
 def test_op1_recall_of_every_twentieth_document(spark):
     """All links of the documents whose id is divisible by 20, against all documents by brute force."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()

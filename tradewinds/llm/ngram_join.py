@@ -408,3 +408,39 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", "class_id", "n_links", "copy_id", "n_copies")
+
+
+#: The groups by joining the classes' shingles; for tables of some thousand documents.
+ORACLE = r"""
+with recursive t as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+), d as (
+  select text, any_value(w) as w from t group by text
+), sets as (
+  select text, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s from d
+), classes as (
+  select s, len(s) as n, count(*) as texts, row_number() over (order by min(text)) as c from sets group by s
+), member as (
+  select text, c from sets join classes using (s)
+), shingles as (
+  select c, n, unnest(s) as g from classes
+), pairs as (
+  select a.c as a, b.c as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as i from shingles a join shingles b on a.g = b.g and a.c < b.c group by 1, 2
+), linked as (
+  select a, b from pairs where 9 * i >= 4 * (na + nb) union all select b, a from pairs where 9 * i >= 4 * (na + nb)
+), reach as (
+  select c, c as r from classes union select l.b, reach.r from reach join linked l on l.a = reach.c
+), roots as (
+  select c, min(r) as r from reach group by c
+), near as (
+  select a as c, sum(texts)::bigint as texts from linked join classes on classes.c = b group by a
+), docs as (
+  select doc_id, c from t join member using (text)
+), copies as (
+  select c, min(doc_id) as copy_id, count(*) - 1 as n_copies from docs group by c
+), groups_ as (
+  select r, min(copy_id) as class_id from copies join roots using (c) group by r
+)
+select docs.doc_id, class_id, coalesce(near.texts, 0) + classes.texts - 1 as n_links, copy_id, n_copies
+from docs join classes using (c) join copies using (c) join roots using (c) join groups_ using (r) left join near using (c)
+"""

@@ -28,6 +28,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_ngram_jaccard": ngram_join.ORACLE,
     "op3_pivot_topk": topk.ORACLE,
     "op5_mix_sources": mixing.ORACLE,
     "op8_host_rules": hostrules.ORACLE,
