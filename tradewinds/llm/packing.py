@@ -36,7 +36,7 @@ class Capacity:
 
 
 #: Parts that are encoded together; distinct parts that a worker keeps, beside those of one batch.
-TOGETHER, KEPT = 512, 800_000
+TOGETHER, KEPT = 512, 600_000
 
 
 class Ids:
@@ -87,11 +87,16 @@ class Ids:
         self._learn([known[i] for i in lacking.tolist()])
         slots[lacking] = np.arange(first, first + len(lacking))
         slots = slots[parts.indices.to_numpy()]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        del lists, parts, known
         begin = self.upto[slots]
-        n = self.upto[slots + 1] - begin
-        upto = np.concatenate(([0], np.cumsum(n)))
-        ids = self.ids[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])]
-        return ids, np.concatenate(([0], upto[np.cumsum(pc.list_value_length(lists).to_numpy())]))
+        n = (self.upto[slots + 1] - begin).astype(np.int32)
+        upto = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))
+        del slots
+        small = np.int32 if max(len(self.ids), int(upto[-1])) < 2**31 else np.int64  # the largest arrays of a batch
+        at = np.repeat((begin - upto[:-1]).astype(small), n)
+        at += np.arange(upto[-1], dtype=small)
+        return self.ids[at], np.concatenate(([0], upto[ends]))
 
 
 def _room(x: np.ndarray, n: int) -> np.ndarray:
