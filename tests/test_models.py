@@ -1,3 +1,4 @@
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,14 @@ def test_split_sizes(spark):
     assert got == {0: 500, 1: 200, 2: 300}
     parts = {r.m: r.part for r in S.chrono_split(rows, "m", [0.4, 0.2, 0.4]).select("m", "part").distinct().collect()}
     assert [parts[m] for m in range(13)] == [0] * 5 + [1] * 3 + [2] * 5
+
+
+@pytest.mark.parametrize("n", [0, 1, 45, 85, 90])
+def test_split_sizes_are_those_of_the_sql(spark, n):
+    """Halves that doubles miss (45 * 0.7), and parts without rows."""
+    from tradewinds.plans import catalog
+
+    tail = catalog.ORACLE["spl02_random"].rsplit("select part::int as part", 1)[1]
+    want = duckdb.sql(f"with n as (select {n}::bigint as n) select part::int as part{tail}").fetchall()
+    got = S.sizes(S.random_split(spark.range(n), ["id"], [0.5, 0.2, 0.3]), 3)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and got.dtypes == [("part", "int"), ("n", "bigint")]

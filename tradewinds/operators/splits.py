@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
 def _part(position: Column, n: Column, fractions: list[float]) -> Column:
-    """Part by cumulative half-even rounded counts; the last takes the rest."""
-    run, out = 0.0, None
+    """Part by cumulative half-even rounded counts, in decimals, so that a half is one (45 * 0.7 as doubles is below 31.5); the last takes the rest."""
+    run, out = Decimal(0), None
     for k, f in enumerate(fractions[:-1]):
-        run += f
-        cut = position <= F.bround(n * run)
+        run += Decimal(str(f))
+        cut = position <= F.bround(n.cast("decimal(18,0)") * F.lit(run))
         out = F.when(cut, k) if out is None else out.when(cut, k)
     return out.otherwise(len(fractions) - 1)
 
@@ -34,6 +36,12 @@ def chrono_split(rows: DataFrame, month: str, fractions: list[float]) -> DataFra
     return rows.join(F.broadcast(m), month)
 
 
+def sizes(split: DataFrame, parts: int) -> DataFrame:
+    """part, n: rows of each part, 0 for parts without any."""
+    counts = F.array(*[F.struct(F.lit(k).alias("part"), F.count_if(F.col("part") == k).alias("n")) for k in range(parts)])
+    return split.agg(counts.alias("_a")).select(F.inline("_a"))
+
+
 def composition(split: DataFrame, month: str) -> DataFrame:
     n = F.count("*")
     return split.groupBy(month, "part").agg(n.alias("n")).withColumn("share", F.round(100 * F.col("n") / F.sum("n").over(W.partitionBy(month)), 6))
