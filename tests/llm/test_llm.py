@@ -308,6 +308,51 @@ def test_op3_rules_out_far_blocks_and_keeps_large_scores_exact():
     assert topk.scores(big, big)[0][0] == 2**63 - 1
 
 
+def over_blocks(x, ids, q, q_ids, k=5, size=2048, pivots=16):
+    space = topk.Space(topk.choose_pivots(x, pivots), float((x * x).sum(1).max()))
+    best = topk.Best(k, np.full(len(q), -np.inf))
+    for a in range(0, len(x), size):
+        topk.search(space, q_ids, q, space.distances(q, False), topk.Block(ids[a : a + size], x[a : a + size], space.distances(x[a : a + size], True)), best)
+    return best.found
+
+
+def test_op3_scores_queries_together():
+    """Calls do not grow with the queries of a block; copies, ids that repeat and ties at the k-th place."""
+    import sys
+
+    rng = np.random.default_rng(8)
+    x = rng.integers(-60, 60, (4096, 64)).astype(float)
+    x[1000:3000] = x[7]  # one large group of copies, over both blocks
+    ids = rng.permutation(3500)[np.r_[np.arange(3500), np.arange(596)]]
+    q, q_ids = x[::8], ids[::8]
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event in ("call", "c_call")
+
+    sys.setprofile(count)
+    try:
+        found = over_blocks(x, ids, q, q_ids)
+    finally:
+        sys.setprofile(None)
+    assert calls < 8 * len(q)
+    s = (q @ x.T).astype(int)
+    for i in range(len(q)):
+        each = {}
+        for v, j in sorted(zip(s[i].tolist(), ids.tolist())):
+            each[j] = v
+        each.pop(q_ids[i])
+        assert sorted(found[i].items()) == sorted(sorted(each.items(), key=lambda t: (-t[1], t[0]))[:5])
+
+
+@pytest.mark.parametrize("one", [3.0, 2.0**11, 2.0**26])
+def test_op3_ties_of_large_scores(one):
+    """A score beyond 2**53 is no double; a later tie with a smaller id enters. Scores of singles, doubles and Python integers."""
+    q, x = np.array([[2.0 * one, 1.0]]), np.array([[one, 3.0], [one, 2.0], [one, 3.0]])
+    assert over_blocks(x, np.array([9, 8, 4]), q, np.array([50]), k=1, size=1) == [{4: int(2 * one * one) + 3}]
+
+
 def labelled_rows(spark, ys, name):
     return spark.createDataFrame([(i, int(y) if name == "quality" else 0, int(y) if name == "toxic" else 0) for i, y in enumerate(ys)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
 

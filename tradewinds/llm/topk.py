@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from tradewinds.llm._io import append, empty_table, materialise, release, reread
 
-#: Pivots; bounded sample that they are chosen from; rows of a block of candidates; queries of a round, on average; candidates scored at once; pivots that a
-#: block's candidates are held against at once, and the share of candidates that each such step must rule out for the next one to pay.
-PIVOTS, SAMPLE, BLOCK, ROUND, CHUNK, STEP, PAYS = 128, 8_000, 2_048, 4_096, 64, 16, 0.1
+#: Pivots; bounded sample that they are chosen from; rows of a block of candidates; queries of a round, on average; candidates of a chunk, that share ranges of
+#: distances; pivots that a block's chunks are held against at once, and the share of pairs of query and chunk that each such step must rule out for the next
+#: one to pay; queries scored at once.
+PIVOTS, SAMPLE, BLOCK, ROUND, CHUNK, STEP, PAYS, TILE = 128, 8_000, 2_048, 4_096, 64, 16, 0.1, 256
+
+#: The least long: a floor that every score reaches.
+LEAST = -(2**63)
 
 
 def quantised(vectors: DataFrame, scale: int = 256) -> DataFrame:
@@ -78,69 +82,137 @@ def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Candidates with their precomputed distances to the pivots, and the range of those for each pivot."""
+    """Candidates with the ranges of their precomputed distances to the pivots, as a whole and by chunks of CHUNK."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, dx: np.ndarray):
-        self.ids, self.x, self.dx = ids, x, dx
-        self.low, self.high = (dx.min(0), dx.max(0)) if len(dx) else (np.zeros(dx.shape[1]), np.zeros(dx.shape[1]))
+        self.ids, self.x = ids, x
+        self.edges = np.arange(0, len(ids), CHUNK)
+        self.lows, self.highs = (f.reduceat(dx, self.edges, axis=0).astype(float) if len(ids) else np.zeros(dx.shape) for f in (np.minimum, np.maximum))
+        self.low, self.high = (self.lows.min(0), self.highs.max(0)) if len(ids) else (np.zeros(dx.shape[1]), np.zeros(dx.shape[1]))
+        self.norm = float(np.sqrt(np.einsum("ij,ij->i", x, x, dtype=float).max())) if x.size else 0.0
+        self.most = float(np.abs(x).max()) if x.size else 0.0
+        self.order = np.argsort(ids, kind="stable")
+        self.sorted = ids[self.order]
+        starts = np.flatnonzero(np.r_[True, self.sorted[1:] != self.sorted[:-1]]) if len(ids) else np.zeros(1, int)
+        self.repeats = int(np.diff(np.r_[starts, len(ids)]).max())  # rows of the most frequent id
 
 
 class Best:
-    """The k best candidates so far of each query, one entry an id, and the score that another one has to reach."""
+    """The k best candidates so far of each query, one entry an id, best first, and the score that another one has to reach."""
 
     def __init__(self, k: int, floor: np.ndarray):
-        self.k, self.floor = k, floor  # floor: a score that each query's k-th candidate is known to reach
-        self.found: list[dict[int, int]] = [{} for _ in floor]
-
-    def add(self, i: int, ids, s) -> None:
-        got = self.found[i]
-        for x, v in zip(ids.tolist(), s.tolist()):
-            if v >= self.floor[i] and v > got.get(x, -(2**64)):
-                got[x] = v
-        if len(got) > self.k:
-            keep = sorted(got.items(), key=lambda t: (-t[1], t[0]))[: self.k]
-            self.found[i] = got = dict(keep)
-        if len(got) == self.k:
-            self.floor[i] = max(self.floor[i], min(got.values()))
+        self.k, n = k, len(floor)  # floor: a score that each query's k-th candidate is known to reach
+        self.floor = np.array([LEAST if f == -np.inf else int(f) for f in floor.tolist()], np.int64)
+        self.n, self.ids, self.scores = np.zeros(n, np.int64), np.zeros((n, k), np.int64), np.zeros((n, k), np.int64)
+
+    @property
+    def found(self) -> list[dict[int, int]]:
+        return [dict(zip(i[:n].tolist(), s[:n].tolist())) for n, i, s in zip(self.n, self.ids, self.scores)]
+
+    def rows(self, at: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, id and score of each entry of some queries; a query is its place in `at`."""
+        r, c = np.nonzero(np.arange(self.k) < self.n[at][:, None])
+        return r, self.ids[at][r, c], self.scores[at][r, c]
+
+    def add(self, i: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
+        """Candidates of queries i; those that cannot enter are left out here."""
+        full = self.n[i] == self.k
+        stay = (s >= self.floor[i]) & ~(full & (s == self.scores[i, -1]) & (ids >= self.ids[i, -1]))
+        i, ids, s = i[stay], ids[stay], s[stay]
+        if not len(i):
+            return
+        at, place = np.unique(i, return_inverse=True)
+        r, old, old_s = self.rows(at)
+        r, ids, s = np.concatenate([r, place]), np.concatenate([old, ids]), np.concatenate([old_s, s])
+        by = np.lexsort((~s, ids, r))  # ~s: descending
+        r, ids, s = r[by], ids[by], s[by]
+        first = np.r_[True, (r[1:] != r[:-1]) | (ids[1:] != ids[:-1])]
+        r, ids, s = r[first], ids[first], s[first]
+        by = np.lexsort((ids, ~s, r))
+        r, ids, s = r[by], ids[by], s[by]
+        n = np.bincount(r, minlength=len(at))
+        rank = np.arange(len(r)) - (np.cumsum(n) - n)[r]
+        keep = rank < self.k
+        self.ids[at[r[keep]], rank[keep]], self.scores[at[r[keep]], rank[keep]] = ids[keep], s[keep]
+        self.n[at] = np.minimum(n, self.k)
+        full = at[n >= self.k]
+        self.floor[full] = np.maximum(self.floor[full], self.scores[full, -1])
+
+
+def _score(q_ids: np.ndarray, q: np.ndarray, rows: np.ndarray, block: Block, lo: int, hi: int, best: Best, kind: type) -> None:
+    """Score queries `rows` with candidates lo to hi by one product of matrices and add what reaches their floors."""
+    ids, x = block.ids[lo:hi], block.x[lo:hi]
+    s = q[rows].astype(kind) @ x.astype(kind, copy=False).T if kind is not object else scores(q[rows], x).astype(np.int64)
+    own = np.searchsorted(block.sorted, q_ids[rows]), np.searchsorted(block.sorted, q_ids[rows], side="right")
+    mine = np.zeros(s.shape, bool) if (own[1] > own[0]).any() else None
+    for i in np.flatnonzero(own[1] > own[0]).tolist():
+        at = block.order[own[0][i] : own[1][i]]
+        mine[i, at[(at >= lo) & (at < hi)] - lo] = True
+    reach = best.floor[rows].astype(s.dtype)
+    hit = s >= reach[:, None]
+    if mine is not None:
+        hit &= ~mine
+    least = best.k * block.repeats  # so many rows have k ids at least
+    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > least)
+    if len(many):
+        top = np.where(hit[many], s[many], reach[many][:, None])
+        hit[many] &= top >= np.partition(top, -least, axis=1)[:, -least][:, None]
+    r, c = np.nonzero(hit)
+    if len(r):
+        best.add(rows[r], ids[c], s[r, c].astype(np.int64))
 
 
 def search(space: Space, q_ids: np.ndarray, q: np.ndarray, dq: np.ndarray, block: Block, best: Best) -> int:
     """Add the candidates of a block that may be among the k best; returns how many were scored.
 
     With all candidates lifted to one norm, score = (|q|^2 + radius2 - d^2) / 2, and d is at least the largest |d(q, pivot) - d(x, pivot)|: an upper bound of
-    the score. A query whose bound over the whole block is below its k-th score leaves the block. Else pivots are applied STEP at a time, those farthest from
-    the block's distances first, as long as they rule candidates out, and what is left is scored in order of the bound until the next bound
-    is below the k-th score.
+    the score. A query whose bound over the whole block is below its k-th score leaves the block. Else the same is asked of each chunk of the block, with STEP
+    pivots at a time, those farthest from the block's distances first, as long as they rule chunks out. What is left is scored, chunks in order of the bound
+    where some were ruled out, by products of matrices, which cost less than a bound for each candidate.
     """
+    if not len(q) or not len(block.ids):
+        return 0
     q2 = (q * q).sum(1)
-    gap = np.maximum(np.maximum(block.low - dq, dq - block.high), 0)
-    near = space.upper(q2, gap.max(1)) >= best.floor if gap.shape[1] else np.ones(len(q), bool)
-    middle = (block.low + block.high) / 2
-    scored = 0
-    for i in np.flatnonzero(near).tolist():
-        order = np.argsort(-np.abs(dq[i] - middle), kind="stable")
-        left = np.flatnonzero(block.ids != q_ids[i])
-        low = np.zeros(len(left))
+
+    def may(rows, low):
+        """The bound of queries at a distance of `low` or more; no score is below the least long."""
+        return np.maximum(space.upper(q2[rows] if low.ndim == 1 else q2[rows][:, None], low), float(LEAST))
+
+    some = np.arange(len(q))
+    if dq.shape[1]:
+        gap = np.maximum(block.low - dq, dq - block.high).max(1)
+        some = np.flatnonzero(may(some, np.maximum(gap, 0)) >= best.floor)
+    if not len(some):
+        return 0
+    low = np.zeros((len(some), len(block.edges)))
+    left = low.size
+    if len(block.edges) > 1 and (best.floor[some] > LEAST).any():
+        order = np.argsort(-np.abs(dq[some] - (block.low + block.high) / 2).mean(0), kind="stable")
         for a in range(0, len(order), STEP):
-            some = order[a : a + STEP]
-            low = np.maximum(low, np.abs(block.dx[left[:, None], some] - dq[i, some]).max(1))
-            stay = space.upper(q2[i], low) >= best.floor[i]
-            before, left, low = len(left), left[stay], low[stay]
-            if not len(left) or before - len(left) < PAYS * before:
+            by = order[a : a + STEP]
+            for j in by.tolist():
+                d = dq[some, j][:, None]
+                np.maximum(low, block.lows[:, j] - d, out=low)
+                np.maximum(low, d - block.highs[:, j], out=low)
+            before, left = left, int((may(some, low) >= best.floor[some][:, None]).sum())
+            if not left or before - left < PAYS * before:
                 break
-        bound = space.upper(q2[i], low)
-        order = np.argsort(-bound, kind="stable")
-        at, step = 0, CHUNK
-        while at < len(order) and bound[order[at]] >= best.floor[i]:
-            some = left[order[at : at + step]]
-            s = scores(q[i : i + 1], block.x[some])[0]
-            scored += len(some)
-            good = np.flatnonzero(s >= best.floor[i])
-            if len(good) > best.k and s.dtype != object:  # no more than k of them, and ties of the k-th
-                good = good[s[good] >= np.partition(s[good], -best.k)[-best.k]] if len(np.unique(block.ids[some[good]])) == len(good) else good
-            best.add(i, block.ids[some[good]], s[good])
-            at += step
-            step = min(step * 4, BLOCK)
+    if left > (1 - PAYS) * low.size:
+        parts, bound = [(0, len(block.ids))], np.full((len(some), 1), np.inf)
+    else:
+        parts, bound = [(a, min(a + CHUNK, len(block.ids))) for a in block.edges.tolist()], may(some, low)
+    # exact in floats: every sum of products is at most the product of the norms, or of the largest components and the dimension
+    norm, most = np.sqrt(q2), np.abs(q).max(1) if q.shape[1] else np.zeros(len(q))
+    single = (norm * block.norm < 2**24) & (norm < 2**24) & (block.norm < 2**24)
+    double = most * block.most * q.shape[1] < 2**53
+    scored = 0
+    for p in np.argsort(-bound.mean(0), kind="stable").tolist():
+        lo, hi = parts[p]
+        rows = some[bound[:, p] >= best.floor[some]]
+        for kind, of in ((np.float32, rows[single[rows]]), (np.float64, rows[~single[rows] & double[rows]]), (object, rows[~single[rows] & ~double[rows]])):
+            for a in range(0, len(of), TILE):
+                _score(q_ids, q, of[a : a + TILE], block, lo, hi, best, kind)
+        scored += len(rows) * (hi - lo)
     return scored
 
 
@@ -175,7 +247,9 @@ def pivot_table(rows: DataFrame, spaces: dict[int, Space]) -> DataFrame:
                     x = np.frombuffer(b"".join(raw[a:b])).reshape(b - a, dim)
                     wide = bool(x.size and np.abs(x).max() >= 2**24)
                     dx = spaces[dim].distances(x, True).astype(np.float32)
-                    one = [dim, int(cells[a]), int(cells[b - 1]), ids[a:b].astype(np.int64).tobytes(), wide, (x if wide else x.astype(np.float32)).tobytes(), dx.tobytes()]
+                    lie = np.lexsort((dx.min(1) if dx.shape[1] else np.zeros(b - a), cells[a:b]))  # chunks that lie together
+                    x, dx = x[lie], dx[lie]
+                    one = [dim, int(cells[a]), int(cells[b - 1]), ids[a:b][lie].astype(np.int64).tobytes(), wide, (x if wide else x.astype(np.float32)).tobytes(), dx.tobytes()]
                     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.binary(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(one, types)], ["dim", "first", "last", "ids", "wide", "v", "dx"])
 
@@ -187,8 +261,8 @@ def _blocks(batches, spaces: dict[int, Space]):
     for batch in batches:
         for r in batch.to_pylist():
             ids = np.frombuffer(r["ids"], np.int64)
-            x = np.frombuffer(r["v"], np.float64 if r["wide"] else np.float32).astype(float).reshape(len(ids), r["dim"])
-            yield r, Block(ids, x, np.frombuffer(r["dx"], np.float32).astype(float).reshape(len(ids), len(spaces[r["dim"]].pivots)))
+            x = np.frombuffer(r["v"], np.float64 if r["wide"] else np.float32).reshape(len(ids), r["dim"])
+            yield r, Block(ids, x, np.frombuffer(r["dx"], np.float32).reshape(len(ids), len(spaces[r["dim"]].pivots)))
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, pivots: int = PIVOTS) -> DataFrame:
@@ -237,9 +311,10 @@ def _round(table: DataFrame, queries: dict, spaces: dict[int, Space], k: int) ->
             d = dq[r["dim"]]
             cell = d.argmin(1) if d.shape[1] else np.zeros(len(ids))
             at = np.flatnonzero((cell >= r["first"]) & (cell <= r["last"]))
-            best = Best(k, np.full(len(at), -np.inf))
+            best = Best(k, np.full(len(at), LEAST, np.int64))
             search(spaces[r["dim"]], ids[at], x[at], d[at], block, best)
-            yield _found([(r["dim"], int(i)) for i in at], best, ["dim", "row"])
+            i, x, s = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), r["dim"], np.int32)), pa.array(at[i].astype(np.int32)), pa.array(s), pa.array(x)], ["dim", "row", "score", "vec_id"])
 
     def every(batches):
         best = {d: Best(k, floor[d].copy()) for d in queries}
@@ -248,9 +323,10 @@ def _round(table: DataFrame, queries: dict, spaces: dict[int, Space], k: int) ->
                 ids, x = queries[r["dim"]]
                 search(spaces[r["dim"]], ids, x, dq[r["dim"]], block, best[r["dim"]])
         for d, b in best.items():
-            yield _found([(int(i),) for i in queries[d][0]], b, ["query_id"])
+            i, x, s = b.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(queries[d][0][i]), pa.array(s), pa.array(x)], ["query_id", "score", "vec_id"])
 
-    floor = {d: np.full(len(ids), -np.inf) for d, (ids, _) in queries.items()}
+    floor = {d: np.full(len(ids), LEAST, np.int64) for d, (ids, _) in queries.items()}
     near = table.mapInArrow(nearest, "dim int, row int, score long, vec_id long").groupBy("dim", "row", "vec_id").agg(F.max("score").alias("score"))
     place = F.row_number().over(W.partitionBy("dim", "row").orderBy(F.col("score").desc()))
     for r in near.withColumn("place", place).where(F.col("place") == k).collect():  # at most one a query of the round
@@ -258,12 +334,6 @@ def _round(table: DataFrame, queries: dict, spaces: dict[int, Space], k: int) ->
     return table.mapInArrow(every, "query_id long, score long, vec_id long")
 
 
-def _found(keys: list[tuple], best: Best, names: list[str]) -> pa.RecordBatch:
-    flat = [(*key, s, x) for key, got in zip(keys, best.found) for x, s in got.items()]
-    types = [*([pa.int64()] if names == ["query_id"] else [pa.int32()] * len(names)), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array([f[j] for f in flat], t) for j, t in enumerate(types)], [*names, "score", "vec_id"])
-
-
 ORACLE = """
 with v as (
   select vec_id, list_transform(embedding, lambda e: floor(256 * e::double)) as x from embeddings
